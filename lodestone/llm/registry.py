@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op10_simhash",)
+MODULES = ("op3_quality", "op8_langid", "op10_simhash")
 
 
 def queries() -> dict:

@@ -52,7 +52,7 @@ class Slab:
     """Some whole texts of a batch: rows lo..hi-1, their bytes, and offsets into them."""
 
     def __init__(self, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray, up: Powers, down: Powers):
-        self.lo, self.hi, self.data, self.offsets, self._up, self._down = lo, hi, data, offsets, up, down
+        self.lo, self.hi, self.data, self.offsets, self.up, self.down = lo, hi, data, offsets, up, down
         self.n = hi - lo
         self._sums: dict[bool, np.ndarray] = {}
 
@@ -88,10 +88,10 @@ class Slab:
         if fold not in self._sums:
             table = _FOLDED if fold else _EXACT
             sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(table[self.data] * self._up(len(self.data)), out=sums[1:])
+            np.cumsum(table[self.data] * self.up(len(self.data)), out=sums[1:])
             self._sums[fold] = sums
         sums = self._sums[fold]
-        inverse = self._down(len(self.data) + 1)
+        inverse = self.down(len(self.data) + 1)
         return mix((sums[end] - sums[begin]) * inverse[begin])
 
 
