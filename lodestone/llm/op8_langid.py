@@ -205,6 +205,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(sample["t"].to_pylist(), sample["l"].to_pylist())
 
 
+def languages(texts, model) -> tuple[list[str], np.ndarray]:
+    """The language and its share of posterior mass, for each text of an Arrow column."""
+    labels = model[0]
+    lang, share = [], [np.zeros(0)]
+    for slab in slabs(texts):
+        begin, end, doc, p = label_words(slab, model)
+        mass = np.stack([np.bincount(doc, p[:, c] * np.minimum(end - begin, 16), slab.n) for c in range(len(labels))], 1) if labels else np.zeros((slab.n, 1))
+        total = mass.sum(1)
+        sure = has_letter(slab) & (total > 0)
+        best = mass.argmax(1)
+        lang += [labels[b] if s else "und" for b, s in zip(best, sure, strict=True)]
+        share.append(np.where(sure, mass[np.arange(slab.n), best] / np.maximum(total, 1e-9), 0.0).clip(0, 1))
+    return lang, np.concatenate(share)
+
+
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row; score is the language's share of posterior mass.
 
@@ -215,25 +230,29 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        labels = held.value[0]
         for batch in batches:
-            lang, share = [], []
-            for slab in slabs(batch.column(1)):
-                begin, end, doc, p = label_words(slab, held.value)
-                mass = np.stack([np.bincount(doc, p[:, c] * np.minimum(end - begin, 16), slab.n) for c in range(len(labels))], 1) if labels else np.zeros((slab.n, 1))
-                total = mass.sum(1)
-                sure = has_letter(slab) & (total > 0)
-                best = mass.argmax(1)
-                lang += [labels[b] if s else "und" for b, s in zip(best, sure, strict=True)]
-                share.append(np.where(sure, mass[np.arange(slab.n), best] / np.maximum(total, 1e-9), 0.0).clip(0, 1))
-            if lang:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.concatenate(share))], ["_id", "lang_pred", "score"])
+            lang, share = languages(batch.column(1), held.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share)], ["_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("_id", id_col)
 
 
+def in_known_language(docs: DataFrame, model, min_share: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known and has ``min_share`` of the mass."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    where = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            lang, share = languages(batch.column(where), held.value)
+            known = np.array([x != "und" for x in lang], bool)
+            yield batch.filter(pa.array(known & (share >= min_share)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def switched_words(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, position, word, lang, probability): the label of every word of every text."""
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op3_quality", "op8_langid", "op10_simhash")
+MODULES = ("op1_decontaminate", "op2_substrings", "op3_quality", "op4_revisit", "op5_licence", "op6_quotes", "op7_mixing", "op8_langid", "op9_mixing", "op10_simhash")
 
 
 def queries() -> dict:
