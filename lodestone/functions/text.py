@@ -102,7 +102,7 @@ def first_bytes(text: Column, n: int) -> Column:
 
 
 def first_line(text: Column, n: int = 200) -> Column:
-    return first_bytes(F.trim(F.substring_index(F.trim(text), "\n", 1)), n)
+    return first_bytes(F.trim(F.substring_index(F.regexp_replace(text, "^\\s+|\\s+$", ""), "\n", 1)), n)
 
 
 def clean_title(text: Column, n: int = 80) -> Column:
