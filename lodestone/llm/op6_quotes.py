@@ -70,15 +70,20 @@ def reply_parents(messages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def thread_roots(parents: DataFrame, rounds: int = 40) -> DataFrame:
-    """(conv_id, turn, root_turn, depth) by pointer doubling: depth 2**k needs k rounds."""
-    now = cut(parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.col("parent_turn").isNotNull().cast("long").alias("steps")))
+    """(conv_id, turn, root_turn, depth) by pointer doubling: depth 2**k needs k rounds.
+
+    Messages that point to a root are done; each round joins only the others,
+    so a few deep threads do not carry all messages along.
+    """
+    rows = cut(parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("up"), F.col("parent_turn").isNotNull().cast("long").alias("steps")))
+    done, open_ = rows.where("steps = 0"), rows.where("steps > 0")
     for _ in range(rounds):
-        top = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        next_ = cut(now.join(top, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("steps2") > 0).alias("moved")))
-        moved = next_.where("moved").limit(1).count()
-        now = next_.drop("moved")
-        if not moved:
-            return now.select("conv_id", "turn", F.col("up").alias("root_turn"), F.col("steps").alias("depth"))
+        top = done.unionByName(open_).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
+        moved = cut(open_.join(top, ["conv_id", "up"]).select("conv_id", "turn", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("steps2") == 0).alias("done")))
+        done = done.unionByName(moved.where("done").drop("done"))
+        open_ = moved.where("not done").drop("done")
+        if open_.isEmpty():
+            return done.select("conv_id", "turn", F.col("up").alias("root_turn"), F.col("steps").alias("depth"))
     raise RuntimeError("threads deeper than 2**rounds")
 
 
