@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, left: str, right: str, rounds: int =
         now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         after = _signature(now)
         if after == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         before = after
     raise RuntimeError("components did not settle")
