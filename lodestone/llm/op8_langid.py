@@ -178,6 +178,8 @@ def label_words(slab: Slab, model) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """First byte, byte after the last, text, and posteriors of each word of a slab."""
     labels, weights, transition, lexicon = model
     begin, end, doc = slab.words()
+    if not labels:
+        return begin, end, doc, np.zeros((len(begin), 0), np.float32)
     score = emissions(weights, *word_features(slab, begin, end, lexicon, int(len(weights) - 1).bit_length() - 1))
     return begin, end, doc, posteriors(score, transition, *segments(doc)) if len(begin) else np.zeros((0, len(labels)), np.float32)
 
