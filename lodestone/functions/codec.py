@@ -9,8 +9,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PAYLOAD = "key string, url string, description string, merchant_name string, city string, amount string, txid string, dynamic boolean, crc string, crc_valid boolean, error string"
+_TEXT = ("key", "url", "description", "merchant_name", "city", "amount", "txid")
+PAYLOAD = T.StructType([*(T.StructField(n, T.StringType()) for n in _TEXT), T.StructField("dynamic", T.BooleanType()), T.StructField("crc", T.StringType()), T.StructField("crc_valid", T.BooleanType()), T.StructField("error", T.StringType())])
+FIELDS = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("val", T.StringType())]))
 #: The scheme's identifier, category, currency and country.
 GUI, CATEGORY, CURRENCY, COUNTRY = "br.gov.bcb.pix", "0000", "986", "BR"
 
@@ -58,16 +61,15 @@ def parse_code(code: str | None) -> dict:
 
 @F.pandas_udf(PAYLOAD)
 def parse(codes: pd.Series) -> pd.DataFrame:
-    names = [c.split()[0] for c in PAYLOAD.split(", ")]
-    return pd.DataFrame([parse_code(c) for c in codes], columns=names)
+    return pd.DataFrame([parse_code(c) for c in codes], columns=PAYLOAD.names)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def checksum(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else f"{crc16(t.encode()):04X}")
 
 
-@F.pandas_udf("array<struct<id:string,val:string>>")
+@F.pandas_udf(FIELDS)
 def fields(codes: pd.Series) -> pd.Series:
     def one(code):
         try:
