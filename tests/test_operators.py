@@ -190,3 +190,41 @@ def test_watched_folder(spark, tmp_path):
     (folder / "c.md").write_text("more")
     watch.on_changes(watch.watch_folder(spark, str(folder)), lambda d: 1 / 0, str(tmp_path / "cp2"), every=None, on_error=errors.append).awaitTermination()
     assert seen == ["body"] and len(errors) == 1
+
+
+def test_store_runs(spark, tmp_path):
+    from lodestone.operators import store as S
+
+    store = S.Store(spark, str(tmp_path / "store"))
+    batch = lambda *rows: spark.createDataFrame([(i, "T", i, b) for i, b in rows], "id string, type string, title string, body string")
+    at = lambda n: F.lit(datetime(2024, 1, n)).cast("timestamp")
+    link = spark.createDataFrame([("a", "b", "link")], "src string, dst string, kind string")
+    assert values(S.run_epoch(store, batch(("a", "1"), ("b", "1"), ("c", "1")), link, at(1))) == [("a", "added"), ("b", "added"), ("c", "added")]
+    assert values(S.run_epoch(store, batch(("a", "1"), ("b", "2"), ("d", "1")), None, at(2))) == [("b", "changed"), ("c", "removed"), ("d", "added")]
+    assert values(S.upsert_batch(store, batch(("a", "3")), None, at(3))) == [("a", "changed")]
+    assert values(store.read("concept").select("id", "first_epoch", "last_epoch")) == [("a", 0, 2), ("b", 0, 1), ("d", 1, 1)]
+    assert store.next_epoch() == 3 and store.read("fact").where("id = 'a'").count() == 3 and store.read("fact").where("tx_to is null and id = 'a'").count() == 1
+    assert S.prune_embeddings(store) == 3 and store.read("embedding").count() == 4
+    cites = spark.createDataFrame([("a", "d", "cites"), ("a", "d", "cites")], "src string, dst string, kind string")
+    assert S.cite(store, cites) == {"matched": 1, "new": 1} and S.cite(store, cites, apply=True)["new"] == 1 and S.cite(store, cites)["new"] == 0
+    S.reindex(store, batch(("z", "1")), None, at(4))
+    assert values(store.read("epoch").select("n")) == [(0,)] and values(store.read("concept").select("id")) == [("z",)]
+    with pytest.raises(schemas.ConstraintError):
+        S.run_epoch(store, batch(("a", "1"), ("a", "2")))
+    assert S.message_catalogue(spark).first()["id"] == "messages/pacs.002.md"
+
+
+def test_answers():
+    from lodestone.operators import answers as A
+
+    assert A.without_marker("<<<EN<<<END>>>D>>>x", "<<<END>>>") == "x"
+    assert A.json_in_prose('so: {"a": "}{", "b": {"c": 1}} done }') == '{"a": "}{", "b": {"c": 1}}' and A.json_in_prose("none") == "none"
+    context = [("a.md", "t"), ("b.md", "u")]
+    ask = lambda reply: A.synthesize(lambda _: reply, "q", context)
+    assert ask('{"text": "yes", "citations": ["b.md", "x", "b.md"]}') == {"text": "yes", "citations": ["b.md"], "refused": False}
+    assert ask('{"text": "yes", "citations": ["x"]}')["refused"] and ask('{"text": "", "citations": ["a.md"]}')["citations"] == []
+    assert A.synthesize(lambda _: 1 / 0, "q", [])["refused"]
+    cache = A.AnswerCache(2)
+    for k in "abc":
+        cache.put(k, k)
+    assert cache.get("a") is None and cache.get("b") == "b"
