@@ -332,4 +332,32 @@ def a15(spark, d):
     return table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"))
 
 
+@query("E08_same_ranking", "SELECT count(*) = count(DISTINCT c_custkey) AS same FROM customer")
+def e08(spark, d):
+    from .relational import ranked
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    top = lambda df: ranked(df, 100, F.desc("c_acctbal"), F.col("id")).select("id", "rank")
+    return spark.createDataFrame([(same_ranking(top(c), top(c.repartition(5))),)], "same boolean")
+
+
+@query("E06_out_of_domain", f"WITH {_HITS}, f AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_discount = 0.1) SELECT case_id, count(*) AS leaks FROM hits JOIN f USING (id) WHERE rank <= 1 GROUP BY case_id")
+def e06(spark, d):
+    _, hits = _cases(spark, d)
+    bad = table(spark, d, "lineitem").where("l_discount = 0.1").select(F.col("l_partkey").alias("id")).distinct()
+    forbidden = hits.select("case_id", "id").join(bad, "id", "left_semi")
+    return leaked(forbidden, hits.where("rank <= 1")).groupBy("case_id").agg(F.count("*").alias("leaks"))
+
+
+@query("H11_gate", f"WITH {_C} SELECT id AS concept_id FROM concept WHERE id = 'doc/00000003.md'")
+def h11(spark, d):
+    c = concepts(spark, d)
+    changed = c.where("id in ('doc/00000003.md', 'doc/00000004.md')").withColumn("body", F.when(F.col("id") == "doc/00000003.md", "now on kubernetes, as before but longer").otherwise(F.lit("a plain text of more than forty characters in all")))
+    return gate(c, changed).select("concept_id").distinct()
+
+
+@query("H13_plan_preview", None)
+def h13(spark, d):
+    return routes(scan(concepts(spark, d))).where("agent = 'hygiene'").orderBy("concept_id").limit(50)
+
 QUERIES, SQL = registry.queries, registry.sql

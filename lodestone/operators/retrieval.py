@@ -427,5 +427,32 @@ def f04(spark, d):
     return concepts(spark, d).select("id", F.array_join(matched_fields(F.lit("From que?"), title=F.col("title"), intent_terms=F.col("intent_terms"), body=F.col("body")), ",").alias("fields"))
 
 
+@query("J10_citation_join", "SELECT * FROM (VALUES ('x', 'z', 'RES-BCB-1', 'cites'), ('w', 'v', 'CIR-3682', 'cites')) t(src, dst, norm_ref, kind)")
+def j10(spark, d):
+    rows = [("x", "ver Resolução BCB nº 1, de 12 de agosto de 2020", ""), ("y", "", "RES-BCB-1"), ("z", "Resolução BCB nº 1", "RES-BCB-1-2020"), ("w", "a Circular nº 3.682", None), ("v", "", "CIR-3682")]
+    return citation_edges(spark.createDataFrame(rows, "id string, body string, norm_ref string"))
+
+
+@query("G06_citation_graph", "SELECT 1::BIGINT AS matched, 1::BIGINT AS new")
+def g06(spark, d):
+    rows = spark.createDataFrame([("x", "ver Resolução BCB nº 1", ""), ("z", "", "RES-BCB-1")], "id string, body string, norm_ref string")
+    found = citation_edges(rows).select("src", "dst", "kind")
+    fresh = found.join(edges(spark, d), ["src", "dst", "kind"], "left_anti")
+    return found.agg(F.count("*").alias("matched")).join(fresh.agg(F.count("*").alias("new")))
+
+
+@query("G05_cross_links", """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS term FROM lineitem WHERE l_orderkey % 50 = 0), u AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 25),
+p AS (SELECT a.id, b.id AS peer, count(*) AS shared FROM t a JOIN t b USING (term) SEMI JOIN u USING (term) WHERE a.id <> b.id GROUP BY ALL),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, peer) AS rank FROM p) WHERE rank <= 6)
+SELECT t.id::VARCHAR AS id, sha256(t.id || coalesce(chr(10) || chr(10) || '## Related' || chr(10) || chr(10) || any_value(l), '')) AS content_sha FROM (SELECT DISTINCT id FROM t) t LEFT JOIN (SELECT id, array_to_string(list('- [' || peer || '](' || peer || ')' ORDER BY rank), chr(10)) AS l FROM r GROUP BY id) x USING (id) GROUP BY t.id""")
+def g05(spark, d):
+    t = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("term")).distinct()
+    peers = shared_term_peers(t)
+    docs = t.select(F.col("id").cast("string").alias("id")).distinct().select("id", F.col("id").alias("title"), F.col("id").alias("body"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer"))), lambda x: F.concat(F.lit("- ["), x.peer.cast("string"), F.lit("]("), x.peer.cast("string"), F.lit(")"))), "\n")
+    section = peers.groupBy(F.col("id").cast("string").alias("id")).agg(lines.alias("l"))
+    return docs.join(section, "id", "left").select("id", F.sha2(F.concat("body", F.coalesce(F.concat(F.lit("\n\n## Related\n\n"), "l"), F.lit(""))), 256).alias("content_sha"))
+
+
 __all__ = ["fold_tokens", "markdown_links"]
 QUERIES, SQL = registry.queries, registry.sql

@@ -242,4 +242,25 @@ def m09(spark, d):
     return concepts(spark, d).select("id").where(~F.col("id").isin("doc/00000003.md", "doc/00000005.md"))
 
 
+def known_at_epoch(rows: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """Rows whose id had any fact up to epoch n: membership, not a return to old contents."""
+    return rows.join(facts.where(F.col("epoch") <= n).select("id"), "id", "left_semi")
+
+
+def known_at_time(rows: DataFrame, facts: DataFrame, at: Column) -> DataFrame:
+    """Rows whose id has an open fact that was valid at a point of time."""
+    return rows.join(as_of_time(facts, at).select("id"), "id", "left_semi")
+
+
+@query("P26_asof_epoch_filter", f"WITH {VERSION_SQL} SELECT id, count(*) AS n FROM version WHERE id IN (SELECT id FROM version WHERE epoch <= 0) GROUP BY id")
+def p26(spark, d):
+    rows = versions(spark, d).groupBy("id").agg(F.count("*").alias("n"))
+    return known_at_epoch(rows, facts(spark, d), 0)
+
+
+@query("P27_asof_time_filter", f"WITH {VERSION_SQL} SELECT id, count(*) AS n FROM version WHERE id IN (SELECT id FROM fact WHERE valid_from <= TIMESTAMP '2024-01-29' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-29') AND tx_to IS NULL) GROUP BY id")
+def p27(spark, d):
+    rows = versions(spark, d).groupBy("id").agg(F.count("*").alias("n"))
+    return known_at_time(rows, facts(spark, d), F.lit("2024-01-29").cast("timestamp_ntz"))
+
 QUERIES, SQL = registry.queries, registry.sql
