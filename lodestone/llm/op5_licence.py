@@ -4,9 +4,9 @@ A softmax regression over word 1- to 3-grams is fitted on the driver from the
 templates below, cut and thinned copies of them, and paragraphs that only look
 like licences. Its features all hold an anchor, a word of the templates that
 everyday text lacks, so a paragraph without any anchor scores as the bias alone:
-unknown. Texts without anchors are therefore settled by one pattern match, and
-for the rest the model's score is a sum over the paragraph's n-grams. Scores
-become probabilities with a temperature fitted on held-out copies; below
+unknown. Texts without anchors are therefore settled by a look at their words. Of
+the others' paragraphs each distinct text is classified once: its n-grams meet
+the sparse weights in a broadcast join, and its score is their sum. Scores become probabilities with a temperature fitted on held-out copies; below
 MIN_PROBABILITY a paragraph is of the unknown class. A prediction counts as
 confirmed if enough of the paragraph's or the template's trigrams are shared.
 
@@ -21,6 +21,7 @@ import random
 import re
 from functools import lru_cache
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +52,19 @@ LOOKALIKES = [
     "the mit students and the apache people met in public", "source code and binary forms of the program were copied", "a creative person works in common", "the university of california published the notice",
     "permission denied while reading the file", "the warranty of the car expired", "conditions of use may change", "the foundation published the following documents", "rights of the workers were reserved", "the license plate of the car", "copyright law is complex",
 ]
-#: Everyday words: never anchors.
-COMMON = "a all and any as at be by can for from free found he his if in is it its may met no not of on one only option or other part people person provided public published the that then there this to use used was with without work you your above after following kind law either later more most each 1 2 3 1.0 2.0 2.1 3.0 4.0".split()
+#: Everyday words that stop-word lists lack: never anchors.
+COMMON = "a all and any as at be by can for from free found he his if in is it its may met no not of on one only option or other part people person provided public published the that then there this to use used was with without work you your above after following kind law either later more most each mit sa nc v 1 2 3 1.0 2.0 2.1 3.0 4.0".split()
 WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
 
 
+LANGUAGES = ("english", "german", "french", "spanish", "portuguese", "italian", "dutch", "swedish", "danish", "norwegian")
+
+
+def everyday_words() -> set[str]:
+    """COMMON and the stop words that come with Spark, of several languages."""
+    return set(COMMON).union(*(StopWordsRemover.loadDefaultStopWords(x) for x in LANGUAGES))
+
+
 def _grams(words: list[str]) -> set[str]:
     return {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
 
@@ -66,7 +75,7 @@ def trained(seed: int = 5, passes: int = 30, rate: float = 0.6, decay: float = 1
     rng = random.Random(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
     split = lambda t: re.findall(WORD, t.lower())
-    anchors = sorted({w for ts in TEMPLATES.values() for t in ts for w in split(t) if w.isalpha()} - set(COMMON))
+    anchors = sorted({w for ts in TEMPLATES.values() for t in ts for w in split(t) if w.isalpha()} - everyday_words())
     held = set(anchors)
     feature = lambda words: {g for g in _grams(words) if held & set(g.split())}
     rows: list[tuple[set[str], int]] = []
