@@ -6,7 +6,8 @@ pasted; their whole word sequence is one band. Long ones are the \\n-split lines
 of MIN_RUN words and more; their 5-word shingles are MinHashed in BANDS bands of
 ROWS rows (recall 1 - (1 - 0.8**2)**8 = 0.9997 at similarity 0.8), colliding
 lines are verified by exact Jaccard similarity, and components of the links are
-clusters. Of each cluster the first paragraph (by id, then place) stays. Short
+clusters. Lines of a band are compared with three of it first; where that leaves
+several components in a band, all of its lines are compared, block by block. Of each cluster the first paragraph (by id, then place) stays. Short
 paragraphs at the edge of a repeated run are extended word by word against
 another copy, spans up to GAP words apart are joined (an edited word), and what
 spans MIN_RUN words or more goes.
@@ -34,6 +35,8 @@ MIN_RUN, GAP, REACH = 40, 8, 24
 #: Repeated runs of fewer words inside the short paragraphs' edges cannot belong to a passage of MIN_RUN words.
 MIN_SEEN = 12
 BITMAP_BITS = 27
+#: Lines of a band that are compared at once with as many others.
+BLOCK = 256
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 62, (2, BANDS * ROWS), dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -129,8 +132,13 @@ def _chains(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(pos, pa.int32()), pa.array(out))
 
 
-def near_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, candidates): lines (id, h, b, e, bands) and colliding pairs (h, other) of their contents."""
+def near_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, pairs, crowded): lines (id, h, b, e, bands), pairs of colliding contents (h, other), and (key, h, n) of bands of n > 3 contents.
+
+    Pairs are those with a band's smallest and largest content hash, which are
+    all pairs of up to three contents, and with its member in the largest bands,
+    which an original has rather than its edited copies.
+    """
 
     def run(batches):
         for batch in batches:
@@ -144,9 +152,54 @@ def near_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     lines = cut(texts.mapInArrow(run, "id long, h long, b long, e long, bands array<long>"))
     keys = lines.groupBy("h").agg(F.any_value("bands").alias("bands")).select("h", F.explode("bands").alias("key"))
-    ends = cut(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi"))
-    pairs = keys.join(ends, "key").select("h", F.explode(F.array("lo", "hi")).alias("other")).where("h <> other")
-    return lines, cut(pairs.select(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).distinct())
+    sizes = cut(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
+    big = cut(keys.join(sizes.where("n > 3").select("key", "n"), "key"))
+    weight = cut(big.groupBy("h").agg(F.sum("n").alias("weight")))
+    hubs = cut(big.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).h.alias("hub")))
+    ends = sizes.join(hubs, "key", "left").select("key", F.array_compact(F.array("lo", "hi", "hub")).alias("ends"))
+    pairs = keys.join(cut(ends), "key").select("h", F.explode("ends").alias("other")).where("h <> other")
+    return lines, cut(pairs.select(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).distinct()), big
+
+
+def links_between(sets: list[np.ndarray], component: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of sets (distinct values each) of SIMILARITY and more that join all components they can."""
+    size = np.array([len(s) for s in sets])
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    column = np.full(len(count), -1, np.int64)
+    column[shared] = np.arange(len(shared))
+    row, column = np.repeat(np.arange(len(sets)), size), column[value]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, len(shared), 4096):
+        part = slice(*np.searchsorted(column, [k, k + 4096]))
+        held = np.zeros((len(sets), min(4096, len(shared) - k)), np.float32)
+        held[row[part], column[part] - k] = 1
+        both += held @ held.T
+    near = both >= SIMILARITY * (size[:, None] + size[None, :] - both)
+    _, root = np.unique(component, return_inverse=True)
+    out = []
+    for i, j in np.argwhere(np.triu(near & (root[:, None] != root[None, :]), 1)):
+        if root[i] != root[j]:
+            root[root == root[j]] = root[i]
+            out.append((int(i), int(j)))
+    return out
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (h, other) between the components of each band: ``members`` (key, h, n, component) are compared in blocks of about BLOCK by BLOCK."""
+    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.join(sets, "h").withColumn("chunk", F.pmod(F.xxhash64("h"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "h", "component", "s")
+
+    def run(block: pa.Table) -> pa.Table:
+        h = block.column("h").to_numpy()
+        found = links_between([np.asarray(x.values) for x in block.column("s").combine_chunks()], block.column("component").to_numpy())
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"h": h[i], "other": h[j]})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "h long, other long").distinct()
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,8 +209,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     longest span's passage. Within one text a passage's first place stays.
     Rows with a null id or text have none. Repeated rows count as one text. Ids
     are cast to long; equal places are ordered by id. An empty table gives an
-    empty result. Colliding lines are verified against the smallest and the
-    largest content hash of each of their bands.
+    empty result. All lines that share a band and are not linked through others
+    are compared.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
@@ -169,7 +222,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     counted = texts.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     short_bits = bitmap(counted, "h")
-    lines, pairs = near_lines(texts)
+    lines, pairs, crowded = near_lines(texts)
     line_bits = bitmap(pairs.select(F.explode(F.array("h", "other")).alias("h")), "h")
     held = docs.sparkSession.sparkContext.broadcast((short_bits, line_bits))
 
@@ -207,7 +260,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[first[hit]] + slab.lo)), _signed(key[hit]), pa.array(first[hit]), pa.array(last[hit]), none, none, listed], ["id", "h", "b", "e", "left", "right", "shingles"])
 
     found = cut(texts.mapInArrow(seen, "id long, h long, b long, e long, left array<int>, right array<int>, shingles array<int>"))
-    spans = _short_spans(found.where("shingles is null").drop("shingles")).unionByName(_line_spans(lines, pairs, found.where("shingles is not null").select("h", "shingles")))
+    spans = _short_spans(found.where("shingles is null").drop("shingles")).unionByName(_line_spans(lines, pairs, crowded, found.where("shingles is not null").select("h", "shingles")))
     return _joined(spans)
 
 
@@ -231,11 +284,18 @@ def _short_spans(found: DataFrame) -> DataFrame:
     return inner.unionByName(rows)
 
 
-def _line_spans(lines: DataFrame, pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+def _line_spans(lines: DataFrame, pairs: DataFrame, crowded: DataFrame, shingles: DataFrame) -> DataFrame:
     sets = cut(shingles.groupBy("h").agg(F.any_value("shingles").alias("s")).select("h", F.array_distinct("s").alias("s")))
     both = F.size(F.array_intersect("s", "t"))
     near = pairs.join(sets, "h").join(sets.select(F.col("h").alias("other"), F.col("s").alias("t")), "other").where(both >= SIMILARITY * (F.size("s") + F.size("t") - both))
+    near = cut(near.select("h", "other"))
     classes = cut(connected_components(near, "h", "other"))
+    members = crowded.join(classes, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("component", "h").alias("component"))
+    members = cut(members)
+    split = cut(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
+    more = cut(block_links(members.join(split, "key"), sets))
+    if not more.isEmpty():
+        classes = cut(connected_components(near.unionByName(more), "h", "other"))
     placed = cut(lines.select("id", "h", "b", "e").join(classes, F.col("h") == F.col("node")).select("id", "b", "e", "component"))
     kept = cut(placed.groupBy("component").agg(F.min(F.struct("id", "b")).alias("kept")))
     rows = placed.join(kept, "component").where((F.col("id") != F.col("kept.id")) | (F.col("b") != F.col("kept.b")))

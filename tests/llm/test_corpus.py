@@ -267,6 +267,41 @@ def test_op2_bands_find_similar_lines():
     assert total > 100 and found >= 0.98 * total
 
 
+def test_op2_links_edited_copies_of_a_line_to_each_other(spark, monkeypatch):
+    monkeypatch.setattr(op2_substrings, "BLOCK", 40, raising=False)
+    rng = random.Random(11)
+    base = words(rng, 130)
+    lines = [" ".join(base)]
+    for k in range(250):
+        edited = [*base]
+        for at in rng.sample(range(130), 2):
+            edited[at] = f"edited{k}x{at}"
+        lines.append(" ".join(edited))
+    lines += [" ".join([*base[:65], *words(rng, 65)]) for _ in range(20)]  # alike, but under the threshold
+    drift = words(rng, 130)
+    for k in range(60):  # a chain, of which no line is near all others
+        drift[2 * k] = f"drift{k}"
+        lines.append(" ".join(drift))
+    slab = next(slabs(pa.array(lines)))
+    h, _, first, last, _ = op2_substrings.long_lines(slab)
+    shingles, at = op2_substrings.line_shingles(h, first, last)
+    sets = [set(x.tolist()) for x in np.split(shingles, at[1:])]
+    bands = op2_substrings.band_keys(shingles, at)
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if (bands[i] == bands[j]).any() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[i] if r == root[j] else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    lines_, *rest = op2_substrings.near_lines(texts)
+    listed = spark.createDataFrame([(int(k), [int(x) - (1 << 31) for x in s]) for k, s in zip(op2_substrings.long_lines(slab)[4].view(np.int64), [np.array(sorted(s), np.uint64) >> np.uint64(32) for s in sets])], "h long, shingles array<int>")
+    got = {r["id"] for r in op2_substrings._line_spans(lines_, *rest, listed).where("e - b >= 130").collect()}
+    first_of = {}
+    want = {i for i, r in enumerate(root) if first_of.setdefault(r, i) != i}
+    assert got == want and len(want) >= 300
+
+
 def test_op1(spark):
     rng = random.Random(6)
     items = [(k, " ".join(words(rng, rng.randrange(15, 55), ("en", "de", "fr")[k % 3]))) for k in range(30)] + [(30, None), (31, " "), (None, "no id")]
