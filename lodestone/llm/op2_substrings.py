@@ -13,8 +13,9 @@ another copy, spans up to GAP words apart are joined (an edited word), and what
 spans MIN_RUN words or more goes.
 
 Only 64-bit hashes are shuffled for all paragraphs. Fixed-size bitmaps of the
-repeated hashes then let a second pass send the few paragraphs that matter; the
-bitmaps may let others pass, and the joins that follow are exact.
+repeated hashes then let a second pass send the few paragraphs that matter, and
+the words around them; the bitmaps may let others pass, and the joins that follow
+are exact. Runs and their edges are found after the join with the repeated hashes.
 """
 
 from __future__ import annotations
@@ -220,7 +221,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 key = short_paragraphs(slab)[4]
                 yield pa.RecordBatch.from_arrays([_signed(key)], ["h"])
 
-    counted = texts.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    counted = cut(texts.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     short_bits = bitmap(counted, "h")
     lines, pairs, crowded = near_lines(texts)
     line_bits = bitmap(pairs.select(F.explode(F.array("h", "other")).alias("h")), "h")
@@ -241,29 +242,69 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     run = np.cumsum(far) - 1
                     head = np.flatnonzero(far)
                     tail = np.append(head[1:], len(hit)) - 1
-                    enough = (last[hit[tail]] - first[hit[head]] >= MIN_SEEN)[run]
-                    tails = np.concatenate([far[1:], [True]])
-                    far[1:] |= far[:-1]  # the second of a run too: another copy's run may begin with it
-                    tails[:-1] |= tails[1:]
-                    hit, heads, tails = hit[enough], far[enough], tails[enough]
+                    enough = last[hit[tail]] - first[hit[head]] >= MIN_SEEN
+                    hit, run, head, tail = hit[enough[run]], (np.cumsum(enough) - 1)[run[enough[run]]], hit[head[enough]], hit[tail[enough]]
                 if len(hit):
-                    b, e, s, t = first[hit], last[hit], start[hit], stop[hit]
-                    left = _chains(h, np.where(heads, np.maximum(s, b - REACH), b), b, -1)
-                    right = _chains(h, e, np.where(tails, np.minimum(t, e + REACH), e), 1)
-                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[b] + slab.lo)), _signed(key[hit]), pa.array(b - s), pa.array(e - s), left, right, pa.nulls(len(hit), pa.list_(pa.int32()))], ["id", "h", "b", "e", "left", "right", "shingles"])
+                    s, t = start[head], stop[head]
+                    lo, hi = np.maximum(s, first[head] - REACH), np.minimum(t, last[tail] + REACH)
+                    ids = pc.take(batch.column(0), pa.array(doc[first[head]] + slab.lo))
+                    where = np.concatenate([[0], np.cumsum(hi - lo)])
+                    at = np.arange(where[-1]) + np.repeat(lo - where[:-1], hi - lo)
+                    words = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array((h[at] >> U64(32)).astype(np.uint32).view(np.int32)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.int64()), pa.array(lo - s), pa.array(hi - s), words, pa.nulls(len(head), pa.list_(pa.int32()))], names)
+                    none = pa.nulls(len(hit), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pc.take(ids, pa.array(run)), _signed(key[hit]), pa.array(first[hit] - s[run]), pa.array(last[hit] - s[run]), pa.array((lo - s)[run]), pa.array((hi - s)[run]), none, none], names)
                 h, doc, first, last, key = long_lines(slab)
                 hit = np.array([k for k in np.flatnonzero(in_bitmap(line_bits, key)) if not (int(key[k]) in sent or sent.add(int(key[k])))], np.int64)
                 if len(hit):
                     shingles, where = line_shingles(h, first[hit], last[hit])
                     listed = pa.ListArray.from_arrays(pa.array(np.append(where, len(shingles)), pa.int32()), pa.array((shingles >> U64(32)).astype(np.uint32).view(np.int32)))
-                    none = pa.nulls(len(hit), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[first[hit]] + slab.lo)), _signed(key[hit]), pa.array(first[hit]), pa.array(last[hit]), none, none, listed], ["id", "h", "b", "e", "left", "right", "shingles"])
+                    none = pa.nulls(len(hit), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[first[hit]] + slab.lo)), _signed(key[hit]), none, none, none, none, pa.nulls(len(hit), pa.list_(pa.int32())), listed], names)
 
-    found = cut(texts.mapInArrow(seen, "id long, h long, b long, e long, left array<int>, right array<int>, shingles array<int>"))
-    spans = _short_spans(found.where("shingles is null").drop("shingles")).unionByName(_line_spans(lines, pairs, crowded, found.where("shingles is not null").select("h", "shingles")))
+    names = ["id", "h", "b", "e", "lo", "hi", "words", "shingles"]
+    found = cut(texts.mapInArrow(seen, "id long, h long, b long, e long, lo long, hi long, words array<int>, shingles array<int>"))
+    spans = _short_spans(_true_runs(found.where("shingles is null").drop("shingles"), counted)).unionByName(_line_spans(lines, pairs, crowded, found.where("shingles is not null").select("h", "shingles")))
     return _joined(spans)
 
 
+def _true_runs(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(id, h, b, e, left, right): paragraphs whose hash is repeated, in runs of MIN_SEEN words and more; chains at the runs' edges.
+
+    ``found`` has paragraphs (words null) and, for each of their places (id, lo,
+    hi), the words of it (h null).
+    """
+    hit = F.struct("b", "e", "h")
+    known = found.where("h is not null").join(repeated, "h").select("id", "lo", "hi", hit.alias("hit"), F.lit(None).cast("array<int>").alias("words"))
+    spoken = found.where("h is null").select("id", "lo", "hi", F.lit(None).cast("struct<b:bigint,e:bigint,h:bigint>").alias("hit"), "words")
+    placed = known.unionByName(spoken).groupBy("id", "lo", "hi").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.max("words").alias("words"))  # one text's own paragraphs
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, lo, hits, words = batch.columns
+            place = np.repeat(np.arange(len(ids)), pc.list_value_length(hits).to_numpy())
+            b, e, key = (x.to_numpy() for x in hits.flatten().flatten())
+            h = words.flatten().to_numpy().astype(np.uint64)
+            where = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int64)
+            far = np.concatenate([[True], (b[1:] - e[:-1] > GAP) | (place[1:] != place[:-1])])
+            head = np.flatnonzero(far)
+            tail = np.append(head[1:], len(b)) - 1
+            enough = (e[tail] - b[head] >= MIN_SEEN)[np.cumsum(far) - 1]
+            tails = np.concatenate([far[1:], [True]])
+            far[1:] |= far[:-1]  # the second of a run too: another copy's run may begin with it
+            tails[:-1] |= tails[1:]
+            place, b, e, key, heads, tails = place[enough], b[enough], e[enough], key[enough], far[enough], tails[enough]
+            shift = where[place] - lo.to_numpy()[place]
+            first, last = b + shift, e + shift
+            left = _chains(h, np.where(heads, np.maximum(where[place], first - REACH), first), first, -1)
+            right = _chains(h, last, np.where(tails, np.minimum(where[place + 1], last + REACH), last), 1)
+            yield pa.RecordBatch.from_arrays([pc.take(ids, pa.array(place)), pa.array(key), pa.array(b), pa.array(e), left, right], ["id", "h", "b", "e", "left", "right"])
+
+    return cut(placed.where(F.size("hits") > 0).select("id", "lo", "hits", "words").mapInArrow(run, "id long, h long, b long, e long, left array<int>, right array<int>"))
+
+
 def _short_spans(found: DataFrame) -> DataFrame:
     """Spans of short paragraphs that are not their content's first; only rows at the edge of a run carry chains about."""
     place, sides = F.struct("id", "b"), ("left", "right")

@@ -302,6 +302,22 @@ def test_op2_links_edited_copies_of_a_line_to_each_other(spark, monkeypatch):
     assert got == want and len(want) >= 300
 
 
+def test_op2_spans_do_not_depend_on_how_full_the_bitmap_is(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        passage = words(rng, 51)
+        rows += [(2 * k + d, " ".join([*words(rng, 70), *passage, *words(rng, 70)])) for d in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda: {r["id"]: [tuple(s) for s in r["spans"]] for r in op2_substrings.repeated_spans(docs).collect()}
+    want, whole = spans(), op2_substrings.bitmap
+    noise = np.random.default_rng(5).integers(0, 256, 1 << 24, dtype=np.uint8)
+    for mask in (noise, np.uint8(255)):
+        monkeypatch.setattr(op2_substrings, "bitmap", lambda *a, mask=mask: whole(*a) | mask)
+        got = spans()
+        assert got == want and len(want) >= 59, (len(got), len(want))
+
+
 def test_op1(spark):
     rng = random.Random(6)
     items = [(k, " ".join(words(rng, rng.randrange(15, 55), ("en", "de", "fr")[k % 3]))) for k in range(30)] + [(30, None), (31, " "), (None, "no id")]
