@@ -6,10 +6,10 @@ pasted; their whole word sequence is one band. Long ones are the \\n-split lines
 of MIN_RUN words and more; their 5-word shingles are MinHashed in BANDS bands of
 ROWS rows (recall 1 - (1 - 0.8**2)**8 = 0.9997 at similarity 0.8), colliding
 lines are verified by exact Jaccard similarity, and components of the links are
-clusters. Lines of a band are compared with three of it first; where that leaves
-several components in a band, all of its lines are compared, block by block. Of each cluster the first paragraph (by id, then place) stays. Short
-paragraphs at the edge of a repeated run are extended word by word against
-another copy, spans up to GAP words apart are joined (an edited word), and what
+clusters. Lines of a band are compared with three of it first; those that are not
+linked to the band's hub are then compared with all others, block by block. Of each cluster the first paragraph (by id, then place) stays. Short
+paragraphs at the edge of a repeated run are extended word by word as far as any
+other copy agrees, spans up to GAP words apart are joined (an edited word), and what
 spans MIN_RUN words or more goes.
 
 Only 64-bit hashes are shuffled for all paragraphs. Fixed-size bitmaps of the
@@ -20,6 +20,8 @@ are exact. Runs and their edges are found after the join with the repeated hashe
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -116,6 +118,12 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
+def _drop_unused(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -134,7 +142,7 @@ def _chains(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> pa.Arra
 
 
 def near_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines, pairs, crowded): lines (id, h, b, e, bands), pairs of colliding contents (h, other), and (key, h, n) of bands of n > 3 contents.
+    """(lines, pairs, crowded): lines (id, h, b, e, bands), pairs of colliding contents (h, other), and (key, h, hub) of bands of over three contents.
 
     Pairs are those with a band's smallest and largest content hash, which are
     all pairs of up to three contents, and with its member in the largest bands,
@@ -155,11 +163,11 @@ def near_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keys = lines.groupBy("h").agg(F.any_value("bands").alias("bands")).select("h", F.explode("bands").alias("key"))
     sizes = cut(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
     big = cut(keys.join(sizes.where("n > 3").select("key", "n"), "key"))
-    weight = cut(big.groupBy("h").agg(F.sum("n").alias("weight")))
+    weight = big.groupBy("h").agg(F.sum("n").alias("weight"))
     hubs = cut(big.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).h.alias("hub")))
     ends = sizes.join(hubs, "key", "left").select("key", F.array_compact(F.array("lo", "hi", "hub")).alias("ends"))
     pairs = keys.join(cut(ends), "key").select("h", F.explode("ends").alias("other")).where("h <> other")
-    return lines, cut(pairs.select(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).distinct()), big
+    return lines, cut(pairs.select(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).distinct()), big.select("key", "h").join(hubs, "key")
 
 
 def links_between(sets: list[np.ndarray], component: np.ndarray) -> list[tuple[int, int]]:
@@ -188,10 +196,17 @@ def links_between(sets: list[np.ndarray], component: np.ndarray) -> list[tuple[i
     return out
 
 
-def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (h, other) between the components of each band: ``members`` (key, h, n, component) are compared in blocks of about BLOCK by BLOCK."""
-    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sets, "h").withColumn("chunk", F.pmod(F.xxhash64("h"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+def block_links(crowded: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (h, other) of the members of each band (key, h, hub) that have none to its hub in ``near``, to all members, in blocks of about BLOCK by BLOCK."""
+    known = near.select(F.col("h").alias("near_h"), F.col("other").alias("near_other"))
+    linked = crowded.join(known, (F.least("h", "hub") == F.col("near_h")) & (F.greatest("h", "hub") == F.col("near_other")), "left")
+    members = cut(linked.select("key", "h", (F.col("near_h").isNull() & (F.col("h") != F.col("hub"))).alias("loose"), F.when(F.col("near_h").isNull(), F.col("h")).otherwise(F.col("hub")).alias("component")))
+    chunks = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = cut(members.groupBy("key").agg(chunks(F.count_if("loose")).alias("loose_chunks"), chunks(F.count_if(~F.col("loose"))).alias("held_chunks")).where("loose_chunks > 0"))
+    # loose lines have chunks 0, 1 ..., the others -1, -2 ...; two of the others are not compared
+    own = F.pmod(F.xxhash64("h"), F.when(F.col("loose"), F.col("loose_chunks")).otherwise(F.col("held_chunks"))).cast("int")
+    dealt = cut(members.join(counts, "key").withColumn("chunk", F.when(F.col("loose"), own).otherwise(-1 - own)))
+    dealt = dealt.join(sets, "h").withColumn("with", F.explode(F.sequence(F.when(F.col("loose"), -F.col("held_chunks")).otherwise(0), F.col("loose_chunks") - 1)))
     dealt = dealt.select("key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "h", "component", "s")
 
     def run(block: pa.Table) -> pa.Table:
@@ -225,6 +240,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short_bits = bitmap(counted, "h")
     lines, pairs, crowded = near_lines(texts)
     line_bits = bitmap(pairs.select(F.explode(F.array("h", "other")).alias("h")), "h")
+    _drop_unused(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((short_bits, line_bits))
 
     def seen(batches):
@@ -251,32 +267,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     where = np.concatenate([[0], np.cumsum(hi - lo)])
                     at = np.arange(where[-1]) + np.repeat(lo - where[:-1], hi - lo)
                     words = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array((h[at] >> U64(32)).astype(np.uint32).view(np.int32)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.int64()), pa.nulls(len(head), pa.int64()), pa.array(lo - s), pa.array(hi - s), words, pa.nulls(len(head), pa.list_(pa.int32()))], names)
-                    none = pa.nulls(len(hit), pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pc.take(ids, pa.array(run)), _signed(key[hit]), pa.array(first[hit] - s[run]), pa.array(last[hit] - s[run]), pa.array((lo - s)[run]), pa.array((hi - s)[run]), none, none], names)
+                    of = pa.array(np.append(np.searchsorted(run, np.arange(len(head))), len(run)), pa.int32())
+                    listed = [pa.ListArray.from_arrays(of, x) for x in (_signed(key[hit]), pa.array((first[hit] - s[run]).astype(np.int32)), pa.array((last[hit] - s[run]).astype(np.int32)))]
+                    yield pa.RecordBatch.from_arrays([ids, pa.nulls(len(head), pa.int64()), pa.array(lo - s), pa.array(hi - s), *listed, words, pa.nulls(len(head), pa.list_(pa.int32()))], names)
                 h, doc, first, last, key = long_lines(slab)
                 hit = np.array([k for k in np.flatnonzero(in_bitmap(line_bits, key)) if not (int(key[k]) in sent or sent.add(int(key[k])))], np.int64)
                 if len(hit):
                     shingles, where = line_shingles(h, first[hit], last[hit])
                     listed = pa.ListArray.from_arrays(pa.array(np.append(where, len(shingles)), pa.int32()), pa.array((shingles >> U64(32)).astype(np.uint32).view(np.int32)))
-                    none = pa.nulls(len(hit), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[first[hit]] + slab.lo)), _signed(key[hit]), none, none, none, none, pa.nulls(len(hit), pa.list_(pa.int32())), listed], names)
-
-    names = ["id", "h", "b", "e", "lo", "hi", "words", "shingles"]
-    found = cut(texts.mapInArrow(seen, "id long, h long, b long, e long, lo long, hi long, words array<int>, shingles array<int>"))
-    spans = _short_spans(_true_runs(found.where("shingles is null").drop("shingles"), counted)).unionByName(_line_spans(lines, pairs, crowded, found.where("shingles is not null").select("h", "shingles")))
+                    none, empty = pa.nulls(len(hit), pa.int64()), pa.nulls(len(hit), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[first[hit]] + slab.lo)), _signed(key[hit]), none, none, pa.nulls(len(hit), pa.list_(pa.int64())), empty, empty, empty, listed], names)
+
+    names = ["id", "h", "lo", "hi", "keys", "b", "e", "words", "shingles"]
+    found = cut(texts.mapInArrow(seen, "id long, h long, lo long, hi long, keys array<long>, b array<int>, e array<int>, words array<int>, shingles array<int>"))
+    shingles = cut(found.where("shingles is not null").select("h", "shingles"))
+    runs = _true_runs(found.where("shingles is null").drop("h", "shingles"), counted)
+    del found, counted
+    _drop_unused(docs.sparkSession)
+    spans = _short_spans(runs).unionByName(_line_spans(lines, pairs, crowded, shingles))
     return _joined(spans)
 
 
 def _true_runs(found: DataFrame, repeated: DataFrame) -> DataFrame:
     """(id, h, b, e, left, right): paragraphs whose hash is repeated, in runs of MIN_SEEN words and more; chains at the runs' edges.
 
-    ``found`` has paragraphs (words null) and, for each of their places (id, lo,
-    hi), the words of it (h null).
+    ``found`` has places (id, lo, hi) with their words and paragraphs (keys, b, e).
     """
     hit = F.struct("b", "e", "h")
-    known = found.where("h is not null").join(repeated, "h").select("id", "lo", "hi", hit.alias("hit"), F.lit(None).cast("array<int>").alias("words"))
-    spoken = found.where("h is null").select("id", "lo", "hi", F.lit(None).cast("struct<b:bigint,e:bigint,h:bigint>").alias("hit"), "words")
+    each = found.select("id", "lo", "hi", F.explode(F.arrays_zip("keys", "b", "e")).alias("x")).select("id", "lo", "hi", F.col("x.keys").alias("h"), F.col("x.b").cast("long").alias("b"), F.col("x.e").cast("long").alias("e"))
+    known = each.join(repeated, "h").select("id", "lo", "hi", hit.alias("hit"), F.lit(None).cast("array<int>").alias("words"))
+    spoken = found.select("id", "lo", "hi", F.lit(None).cast("struct<b:bigint,e:bigint,h:bigint>").alias("hit"), "words")
     placed = known.unionByName(spoken).groupBy("id", "lo", "hi").agg(F.array_sort(F.collect_set("hit")).alias("hits"), F.max("words").alias("words"))  # one text's own paragraphs
 
     def run(batches):
@@ -307,22 +327,39 @@ def _true_runs(found: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def _short_spans(found: DataFrame) -> DataFrame:
     """Spans of short paragraphs that are not their content's first; only rows at the edge of a run carry chains about."""
-    place, sides = F.struct("id", "b"), ("left", "right")
+    place = F.struct("id", "b")
     copies = cut(found.groupBy("h").agg(F.min(place).alias("kept"), F.max(place).alias("latest")).where("kept <> latest").drop("latest"))
     edge = (F.size("left") > 0) | (F.size("right") > 0)
     later = (F.col("id") != F.col("kept.id")) | (F.col("b") != F.col("kept.b"))
     inner = found.where(~edge).select("h", "id", "b", "e").join(copies, "h").where(later).select("id", "b", "e", F.col("kept.id").alias("source"))
-    rows = found.where(edge).select("h", "id", "b", "e", *sides).join(copies, "h")
-    for c in sides:
-        one = F.struct("id", "b", F.col(c).alias("chain"))
-        ends = cut(found.where(F.size(c) > 0).groupBy("h").agg(F.min(one).alias(f"{c}2"), F.max(one).alias(f"{c}3")))
-        rows = rows.join(ends, "h", "left")
-    # against the first and the last copy with a chain, whichever agrees further; the row itself does not count
-    chain = lambda c: F.when((F.col(f"{c}.id") != F.col("id")) | (F.col(f"{c}.b") != F.col("b")), F.col(f"{c}.chain"))
-    alike = lambda a, b: F.coalesce(F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x), F.lit(0))
-    reach = lambda c: F.greatest(*[alike(c, chain(f"{c}{k}")) for k in (2, 3)])
-    rows = rows.where(later).select("id", (F.col("b") - reach("left")).alias("b"), (F.col("e") + reach("right")).alias("e"), F.col("kept.id").alias("source"))
-    return inner.unionByName(rows)
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("chain")) for k, c in enumerate(("left", "right"))]))
+    sided = lambda df: df.where(edge).withColumn("x", sides).select(*[c for c in df.columns if c not in ("left", "right")], "x.*").where(F.size("chain") > 0)
+    one = F.struct("id", "b", "chain")
+    ends = cut(sided(found).groupBy("h", "side").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where((F.col("lo.id") != F.col("hi.id")) | (F.col("lo.b") != F.col("hi.b"))))
+    # against the first and the last copy with a chain; the row itself does not count
+    itself = lambda c: (F.col(f"{c}.id") == F.col("id")) & (F.col(f"{c}.b") == F.col("b"))
+    alike = lambda c: F.coalesce(F.aggregate(F.zip_with("chain", F.when(~itself(c), F.col(f"{c}.chain")), lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x), F.lit(0))
+    rows = sided(found.join(copies, "h").withColumns({"later": later, "source": F.col("kept.id")}).drop("kept")).join(ends, ["h", "side"], "left")
+    rows = rows.select("h", "side", "id", "b", "e", "source", "later", "chain", F.coalesce(itself("lo"), F.lit(True)).alias("is_lo"), F.coalesce(itself("hi"), F.lit(True)).alias("is_hi"), alike("lo").alias("n_lo"), alike("hi").alias("n_hi"))
+    reach = F.greatest("n_lo", "n_hi")
+    rows = cut(rows.withColumn("chain", F.when(~F.col("is_lo") & ~F.col("is_hi") & (F.size("chain") > reach), F.col("chain"))))  # of those that may reach further
+    spans = lambda df, n: df.where("later").select("id", (F.col("b") - F.when(F.col("side") == 0, n).otherwise(0)).alias("b"), (F.col("e") + F.when(F.col("side") == 1, n).otherwise(0)).alias("e"), "source")
+    # those two themselves, against all others
+    best = cut(rows.groupBy("h", "side").agg(F.max("n_lo").alias("best_lo"), F.max("n_hi").alias("best_hi")))
+    both = rows.where("is_lo or is_hi").drop("chain").join(best, ["h", "side"])
+    out = inner.unionByName(spans(rows, reach)).unionByName(spans(both, F.greatest(F.when(F.col("is_lo"), F.col("best_lo")).otherwise(0), F.when(F.col("is_hi"), F.col("best_hi")).otherwise(0))))
+    # the others: those that agree with each other further than with these two agree with these two alike
+    beyond = cut(rows.where("chain is not null").select("h", "side", "id", "b", "e", "source", "later", "chain", reach.alias("k"), F.get("chain", reach).alias("x")))
+    deeper = cut(_shared(beyond, "h", "side", "k", "x").select("h", "side", "id", "b", "e", "source", "later", F.posexplode("chain").alias("at", "x"), "k").where("at >= k").drop("k"))
+    most = _shared(deeper, "h", "side", "at", "x").groupBy("side", "id", "b", "e", "source", "later").agg((F.max("at") + 1).alias("n"))
+    return out.unionByName(spans(most, F.col("n")))
+
+
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose keys another place (id, b) has too."""
+    place = F.struct("id", "b")
+    twice = rows.groupBy(*keys).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select(*keys)
+    return rows.join(cut(twice), list(keys))
 
 
 def _line_spans(lines: DataFrame, pairs: DataFrame, crowded: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -330,13 +367,7 @@ def _line_spans(lines: DataFrame, pairs: DataFrame, crowded: DataFrame, shingles
     both = F.size(F.array_intersect("s", "t"))
     near = pairs.join(sets, "h").join(sets.select(F.col("h").alias("other"), F.col("s").alias("t")), "other").where(both >= SIMILARITY * (F.size("s") + F.size("t") - both))
     near = cut(near.select("h", "other"))
-    classes = cut(connected_components(near, "h", "other"))
-    members = crowded.join(classes, F.col("h") == F.col("node"), "left").select("key", "h", "n", F.coalesce("component", "h").alias("component"))
-    members = cut(members)
-    split = cut(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
-    more = cut(block_links(members.join(split, "key"), sets))
-    if not more.isEmpty():
-        classes = cut(connected_components(near.unionByName(more), "h", "other"))
+    classes = cut(connected_components(near.unionByName(block_links(crowded, near, sets)), "h", "other"))
     placed = cut(lines.select("id", "h", "b", "e").join(classes, F.col("h") == F.col("node")).select("id", "b", "e", "component"))
     kept = cut(placed.groupBy("component").agg(F.min(F.struct("id", "b")).alias("kept")))
     rows = placed.join(kept, "component").where((F.col("id") != F.col("kept.id")) | (F.col("b") != F.col("kept.b")))

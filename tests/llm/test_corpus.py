@@ -318,6 +318,24 @@ def test_op2_spans_do_not_depend_on_how_full_the_bitmap_is(spark, monkeypatch):
         assert got == want and len(want) >= 59, (len(got), len(want))
 
 
+def test_op2_extends_as_far_as_any_copy_agrees(spark):
+    rng = random.Random(14)
+    rows, sides = [], []
+    for k in range(240):
+        around = [[rng.choice((1, 1, 2)) for _ in range(rng.choice((0, 3, 8, 8)))] for _ in range(2)]
+        sides.append(around)
+        rows.append((k, k % 12, 100, 110, *([zlib.crc32(repr(x[: n + 1]).encode()) - (1 << 31) for n in range(len(x))] for x in around)))
+    found = spark.createDataFrame(rows, "id long, h long, b long, e long, left array<int>, right array<int>")
+    got = {}
+    for r in op2_substrings._short_spans(found).collect():
+        b, e = got.get(r["id"], (r["b"], r["e"]))
+        got[r["id"]] = min(b, r["b"]), max(e, r["e"])
+        assert r["source"] == r["id"] % 12
+    common = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    reach = lambda k, side: max(common(sides[k][side], sides[i][side]) for i in range(k % 12, 240, 12) if i != k)
+    assert got == {k: (100 - reach(k, 0), 110 + reach(k, 1)) for k in range(12, 240)}
+
+
 def test_op1(spark):
     rng = random.Random(6)
     items = [(k, " ".join(words(rng, rng.randrange(15, 55), ("en", "de", "fr")[k % 3]))) for k in range(30)] + [(30, None), (31, " "), (None, "no id")]
