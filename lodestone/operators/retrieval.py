@@ -419,7 +419,7 @@ def r11(spark, d):
 
 @query("F05_hash_embedding", None)
 def f05(spark, d):
-    return embed(table(spark, d, "benchmark"), F.col("text"), 64).select("item_id", "dim", "vec")
+    return embed(concepts(spark, d), F.concat_ws(" ", "title", "intent_terms", "body")).select("id", "dim", "vec")
 
 
 @query("F04_matched_fields", f"WITH {CONCEPT_SQL} SELECT id, array_to_string(list_filter([CASE WHEN contains(lower(title), 'from') OR contains(lower(title), 'que') THEN 'title' END, CASE WHEN contains(lower(intent_terms), 'from') OR contains(lower(intent_terms), 'que') THEN 'intent_terms' END, CASE WHEN contains(lower(body), 'from') OR contains(lower(body), 'que') THEN 'body' END], lambda x: x IS NOT NULL), ',') AS fields FROM concept")

@@ -228,3 +228,11 @@ def test_answers():
     for k in "abc":
         cache.put(k, k)
     assert cache.get("a") is None and cache.get("b") == "b"
+
+
+def test_hash_embedding_covers_all_documents(spark, sf_dir):
+    from lodestone.operators import retrieval
+
+    ids = [f"doc/{r[0]:08d}.md" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()]
+    got = retrieval.QUERIES["F05_hash_embedding"](spark, sf_dir).collect()
+    assert sorted(r["id"] for r in got) == sorted(ids) and all(r["dim"] == len(r["vec"]) == 256 for r in got)
