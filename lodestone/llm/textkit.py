@@ -112,6 +112,32 @@ def slabs(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[
         lo = hi
 
 
+def pieces_of(column: pa.Array | pa.ChunkedArray, limit: int, long: int) -> Iterator[tuple[Slab, bool, bool]]:
+    """As slabs, but a text over ``long`` bytes comes in pieces that end at white space: (slab, is it begun before, does it end here)."""
+    for slab in slabs(column, limit):
+        size = len(slab.data)
+        if slab.n > 1 or size <= long:
+            yield slab, False, True
+            continue
+        lo = 0
+        while lo < size:
+            hi = min(size, lo + long)
+            if hi < size:
+                back = np.flatnonzero(WHITE[slab.data[lo + 1 : hi]])
+                ahead = back[-1:] + lo + 1 if len(back) else np.flatnonzero(WHITE[slab.data[hi:]])[:1] + hi
+                hi = int(ahead[0]) if len(ahead) else size
+            yield Slab(slab.lo, slab.hi, slab.data[lo:hi], np.array([0, hi - lo]), slab.up, slab.down), lo > 0, hi == size
+            lo = hi
+
+
+def byte_strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte spans as a binary array."""
+    size = end - begin
+    to = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(to[-1]) + np.repeat(begin - to[:-1], size)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+
+
 def chained(h: np.ndarray, size: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` neighbouring words within one text, and where they start."""
     n = len(h) - size + 1

@@ -191,23 +191,116 @@ def test_op9(spark, corpus, tmp_path):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
         assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
     docs = table(spark, corpus)
-    assert op9_mixing.score_texts(docs.limit(0), docs, slot_bits=12).count() == 0
-    assert op9_mixing.score_texts(docs, docs.limit(0), slot_bits=12).where("score < 0").count() == len(corpus)
+    assert op9_mixing.score_texts(docs.limit(0), docs).count() == 0
+    assert op9_mixing.score_texts(docs, docs.limit(0)).where("score < 0").count() == len(corpus)
 
 
-def test_op9_codes_tell_all_texts_apart():
-    """The bits of a text can be read back: codes are prefix codes, and their probabilities add up to 1."""
-    counts = [(w, 5 + k) for k, w in enumerate([b"the", b"and", b"of", b"x"])]
-    codes = (op9_mixing.word_code(counts, 3, 2), op9_mixing.byte_code())
-    for at, nodes, bits in (codes[0][2], codes[1]):
-        paths = [tuple(zip(nodes[a:b].tolist(), bits[a:b].tolist(), strict=True)) for a, b in zip(at, at[1:], strict=False)]
-        assert sum(2.0 ** -len(p) for p in paths) == pytest.approx(1) and len(set(paths)) == len(paths)
-        for p in paths:  # every node is met with both bits
-            for k, (node, bit) in enumerate(p):
-                assert any(q[: k] == p[:k] and len(q) > k and q[k] == (node, 1 - bit) for q in paths)
-    slab = next(slabs(pa.array(["the zebra of", "", "x"])))
-    bit, spelled, slots, begin = op9_mixing.decisions(slab, codes, 12)
-    assert len(begin) == 4 and begin[-1] == len(bit) == len(spelled) and spelled.any() and not spelled[begin[2] :].any()
+def word_model(counts, ends=3, rare=2):
+    return op9_mixing.word_table(pa.array([w for w, _ in counts], pa.binary()), np.array([c for _, c in counts]), ends, rare)
+
+
+def trained_tables(texts, table, slot_bits):
+    tables = [np.zeros(2 << slot_bits, np.int64) for _ in range(2)]
+    for slab in slabs(pa.array(texts)):
+        bits, *_ = op9_mixing.word_bits(slab, table, slot_bits, np.zeros(2, np.uint64))
+        for t, s in zip(tables, bits[2], strict=True):
+            np.add.at(t, 2 * s.astype(np.int64) + bits[0], 1)
+    return [op9_mixing.states(t[::2], t[1::2]) for t in tables]
+
+
+def test_op9_probabilities_add_up_to_one():
+    """Of all words with a code, the escape and the end, one comes next; so too of all bytes of a spelled word."""
+    rng = random.Random(2)
+    vocabulary = words(rng, 40)
+    counts = [(w.encode(), 2 + k) for k, w in enumerate(dict.fromkeys(vocabulary))]
+    table = word_model(counts)
+    tables = trained_tables([" ".join(rng.choice(vocabulary) for _ in range(50)) for _ in range(20)], table, 12)
+    start = np.tile(np.array([0.8, 0.4, 0.5, 0.1], np.float32), (op9_mixing.GATES, 1))
+    at, nodes, sides, odds = table[-1]
+    assert len(at) == len(counts) + 3
+    next_words = [*(w.decode() for w, _ in counts), "unseen", ""]
+    firsts = [f"{vocabulary[0]} {w}".strip() for w in next_words]
+    slab = next(slabs(pa.array(firsts)))
+    bits, *_ = op9_mixing.word_bits(slab, table, 12, np.zeros(2, np.uint64))
+    total = 0.0
+    for k, text in enumerate(firsts):
+        head = int(np.diff(at)[op9_mixing.leaves(table, slab.hashes(*slab.words()[:2]))[0]])  # bits of the first word
+        lo = bits[4][k] + head
+        leaf = 0 if k == len(firsts) - 1 else op9_mixing.leaves(table, next(slabs(pa.array([next_words[k]]))).hashes(np.array([0]), np.array([len(next_words[k])])))[0]
+        hi = lo + int(np.diff(at)[leaf])
+        one = (bits[0][lo:hi], [x[lo:hi] for x in bits[1]], [x[lo:hi] for x in bits[2]], bits[3][lo:hi], np.array([0, hi - lo]))
+        total += math.exp(op9_mixing.mixed_log_prob(one, tables, start)[0])
+    assert total == pytest.approx(1, abs=1e-3)
+    at, nodes, sides, _ = op9_mixing.byte_code()
+    paths = {tuple(zip(nodes[a:b].tolist(), sides[a:b].tolist(), strict=True)) for a, b in zip(at, at[1:], strict=False)}
+    assert len(paths) == 256 and sum(2.0 ** -len(p) for p in paths) == pytest.approx(1)
+
+
+def test_op9_mixing_by_brute_force():
+    """The vectorised mixer against one bit at a time, weights brought up to date every CHUNK bits."""
+    rng = random.Random(3)
+    vocabulary = words(rng, 30)
+    table = word_model([(w.encode(), 2 + k) for k, w in enumerate(dict.fromkeys(vocabulary))])
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 30, 90, 0, 7)]
+    tables = trained_tables(texts, table, 10)
+    slab = next(slabs(pa.array(texts)))
+    bits, *_ = op9_mixing.word_bits(slab, table, 10, np.zeros(2, np.uint64))
+    start = np.random.default_rng(1).normal(0.4, 0.2, (op9_mixing.GATES, 4)).astype(np.float32)
+    got = op9_mixing.mixed_log_prob(bits, tables, start)
+    xs, gate = op9_mixing.inputs(bits, tables)
+    for k in range(len(texts)):
+        more, scale, total = np.zeros(4), 1.0, 0.0
+        for lo in range(bits[4][k], bits[4][k + 1], op9_mixing.CHUNK):
+            add, more_scale = np.zeros(4), 0.0
+            for i in range(lo, min(lo + op9_mixing.CHUNK, bits[4][k + 1])):
+                s = np.array([*(x[i] for x in xs), 1.0])
+                x = float(((start[gate[i]] + more) * s).sum())
+                p = 1 / (1 + math.exp(-min(9, max(-9, x * scale))))
+                total += math.log(p if bits[0][i] else 1 - p)
+                e = bits[0][i] - p
+                add += e * s
+                more_scale += e * x
+            more += add * np.array([op9_mixing.RATE] * 3 + [op9_mixing.RATE_OFFSET])
+            scale += op9_mixing.RATE_SCALE * more_scale
+        assert got[k] == pytest.approx(total, rel=1e-3)
+
+
+def test_op9_states_keep_small_counts_and_give_one_back():
+    n0, n1 = (x.ravel() for x in np.meshgrid(np.arange(9), np.arange(4)))
+    kept = op9_mixing.states(n0, n1)
+    assert len(set(kept.tolist())) == len(kept)
+    assert (op9_mixing._LESS[0, op9_mixing.states(n0 + 1, n1)] == kept).all() and (op9_mixing._LESS[1, op9_mixing.states(n0, n1 + 1)] == kept).all()
+    odds = op9_mixing._ODDS[op9_mixing.states(np.array([1000, 10, 70000]), np.array([3000, 900, 100]))]
+    assert np.allclose(odds, np.log([3, 90, 1 / 700]), atol=0.1)
+
+
+def test_op9_counts_beyond_a_byte_and_over_tasks(spark):
+    """Counts come together from several tasks, whatever their size."""
+    rows = spark.range(4000).selectExpr("'a' as text").repartition(8)
+
+    def events(batches, add):
+        n = 0
+        for batch in batches:
+            n += len(batch)
+            add(np.ones(len(batch), np.uint8), [np.full(len(batch), 5, np.int32)])
+        return np.full(768, n)
+
+    tables, rest = op9_mixing.counted_states(rows, events, 1, 17)
+    assert rest[0] == 4000 and tables[0][5] == op9_mixing.states(np.array([0]), np.array([4000]))[0] and (np.delete(tables[0], 5) == 0).all()
+
+
+def test_op9_long_texts_are_read_in_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = words(rng, 200)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (5000, 40, 300)] + ["x" * 30_000, None, ""]
+    docs = spark.createDataFrame([(i, t, 1, "w") for i, t in enumerate(texts)], "doc_id long, text string, k int, word string")
+    whole = {r["doc_id"]: r for r in op9_mixing.score_texts(docs, docs).collect()}
+    monkeypatch.setattr(op9_mixing, "LONG_TEXT", 4000)
+    monkeypatch.setattr(op9_mixing, "SLAB_BYTES", 2000)
+    parts = {r["doc_id"]: r for r in op9_mixing.score_texts(docs.repartition(3), docs).collect()}
+    for i, r in whole.items():
+        assert (parts[i]["n_tokens"], parts[i]["n_known"], parts[i]["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
+        assert parts[i]["base_score"] == pytest.approx(r["base_score"]) and parts[i]["score"] == pytest.approx(r["score"], rel=0.01)
 
 
 def test_op9_model_beats_chance_and_its_bits_do_not_depend_on_the_batch(spark):
@@ -215,8 +308,8 @@ def test_op9_model_beats_chance_and_its_bits_do_not_depend_on_the_batch(spark):
     vocabulary = words(rng, 300)
     texts = [" ".join(rng.choice(vocabulary) for _ in range(200)) for _ in range(30)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    a = {r["doc_id"]: r["score"] for r in op9_mixing.score_texts(docs.where("doc_id < 5"), docs.where("doc_id >= 5"), slot_bits=14).collect()}
-    b = {r["doc_id"]: r["score"] for r in op9_mixing.score_texts(docs.repartition(7), docs.where("doc_id >= 5"), slot_bits=14).collect()}
+    a = {r["doc_id"]: r["score"] for r in op9_mixing.score_texts(docs.where("doc_id < 5"), docs.where("doc_id >= 5")).collect()}
+    b = {r["doc_id"]: r["score"] for r in op9_mixing.score_texts(docs.repartition(7), docs.where("doc_id >= 5")).collect()}
     assert all(b[i] == pytest.approx(s, rel=1e-6) for i, s in a.items())
     assert all(-s / math.log10(2) / len(texts[i]) < 2.5 for i, s in a.items())
 
