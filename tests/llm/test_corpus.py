@@ -241,7 +241,7 @@ def test_op9_mixing_by_brute_force():
     rng = random.Random(3)
     vocabulary = words(rng, 30)
     table = word_model([(w.encode(), 2 + k) for k, w in enumerate(dict.fromkeys(vocabulary))])
-    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 30, 90, 0, 7)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 30, 900, 0, 7)]
     tables = trained_tables(texts, table, 10)
     slab = next(slabs(pa.array(texts)))
     bits, *_ = op9_mixing.word_bits(slab, table, 10, np.zeros(2, np.uint64))
@@ -250,9 +250,11 @@ def test_op9_mixing_by_brute_force():
     xs, gate = op9_mixing.inputs(bits, tables)
     for k in range(len(texts)):
         more, scale, total = np.zeros(4), 1.0, 0.0
-        for lo in range(bits[4][k], bits[4][k + 1], op9_mixing.CHUNK):
+        first, end = int(bits[4][k]), int(bits[4][k + 1])
+        cuts = [*range(first, min(end, first + op9_mixing.FIRST), op9_mixing.CHUNK), *range(first + op9_mixing.FIRST, end, op9_mixing.LATER), end]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
             add, more_scale = np.zeros(4), 0.0
-            for i in range(lo, min(lo + op9_mixing.CHUNK, bits[4][k + 1])):
+            for i in range(lo, hi):
                 s = np.array([*(x[i] for x in xs), 1.0])
                 x = float(((start[gate[i]] + more) * s).sum())
                 p = 1 / (1 + math.exp(-min(9, max(-9, x * scale))))
