@@ -5,15 +5,20 @@ training rows, its prefixes and suffixes of 1 to 3 bytes, and its byte trigrams.
 Transitions are learned from sequences in which pieces of documents in different
 languages follow each other, as in code-switched text. Words are labelled by
 forward-backward; a text's language is the one with the largest share of
-posterior mass, each word weighing its bytes (16 at most).
-
-The fit uses a bounded sample of labelled rows (TRAIN_DOCS); prediction reads
-every whole text. The chain is cut every SEGMENT words, so that segments of
-many texts advance together.
+posterior mass, each word weighing the root of its bytes.
+
+The fit uses a bounded sample of labelled rows (TRAIN_DOCS, of TRAIN_BYTES at
+most) and runs in one task of an executor; prediction reads every whole text.
+Segments of SEGMENT words of many texts advance together. What a text's earlier
+and later segments say about a segment is carried over the cuts exactly: each
+segment's words are first multiplied into one matrix. Texts over LONG_TEXT bytes
+are read in pieces, which are chains of their own.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import cut, fold_of, read
-from .textkit import U64, Slab, mix, slabs
+from .textkit import U64, Slab, mix, pieces_of, slabs
 
 BITS = 16
 SEGMENT = 256
-#: Labelled rows used for the fit, and words of them.
+SLAB_BYTES, LONG_TEXT = 1 << 20, 8 << 20
+#: Labelled rows used for the fit, the bytes each may have, and words of them.
 TRAIN_DOCS = 1600
+TRAIN_BYTES = 65_536
 TRAIN_WORDS = 240_000
 LEXICON_COUNT = 3
 _LETTER = np.zeros(256, bool)
@@ -76,17 +83,22 @@ def segments(doc: np.ndarray, limit: int = SEGMENT) -> tuple[np.ndarray, np.ndar
     return first[order], size[order]
 
 
-def posteriors(score: np.ndarray, transition: np.ndarray, first: np.ndarray, size: np.ndarray, pairs: bool = False):
-    """Marginals of each word; with ``pairs`` also the expected count of each transition."""
+def posteriors(score: np.ndarray, transition: np.ndarray, first: np.ndarray, size: np.ndarray, pairs: bool = False, doc: np.ndarray | None = None):
+    """Marginals of each word; with ``pairs`` also the expected count of each transition.
+
+    Segments come longest first. With ``doc``, the text of each word, neighbouring
+    segments of one text are one chain; without it each is a chain of its own.
+    """
     e = np.exp(score - score.max(1, keepdims=True)).astype(np.float32) + np.float32(1e-9)
     step = np.exp(transition - transition.max()).astype(np.float32)
     ahead, back = np.empty_like(e), np.empty_like(e)
     live = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]) if len(size) else 0)]
+    before, after = carried(e, step, first, size, doc)
     for t, m in enumerate(live):
         at = first[:m] + t
-        a = e[at] * (ahead[at - 1] @ step) if t else e[at]
+        a = e[at] * (ahead[at - 1] @ step if t else before)
         ahead[at] = a / a.sum(1, keepdims=True)
-    back[first + size - 1] = 1
+    back[first + size - 1] = after
     for t in range(len(live) - 1, 0, -1):
         at = first[: live[t]] + t
         b = (back[at] * e[at]) @ step.T
@@ -102,6 +114,43 @@ def posteriors(score: np.ndarray, transition: np.ndarray, first: np.ndarray, siz
     return p, (joint / joint.sum((1, 2), keepdims=True)).sum(0)
 
 
+def carried(e: np.ndarray, step: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """What the words before and after each segment say about its first and its last word's label."""
+    n, k = len(first), e.shape[1]
+    before, after = np.ones((n, k), np.float32), np.ones((n, k), np.float32)
+    if doc is None or not n:
+        return before, after
+    order = np.argsort(first)
+    follows = np.append(False, doc[first[order][1:]] == doc[first[order][:-1]])
+    if not follows.any():
+        return before, after
+    whole = np.zeros(n, bool)  # segments of texts that have several
+    whole[order] = follows | np.append(follows[1:], False)
+    some = np.flatnonzero(whole)  # still longest first
+    product = np.tile(np.eye(k, dtype=np.float32), (len(some), 1, 1))
+    begins = np.zeros(n, bool)
+    begins[order] = ~follows
+    for t in range(int(size[some[0]])):
+        m = int(np.searchsorted(-size[some], -t, "left"))
+        moved = (product[:m].reshape(-1, k) @ step).reshape(m, k, k) if t else np.where(begins[some[:m], None, None], product[:m], step)
+        moved *= e[first[some[:m]] + t][:, None, :]
+        product[:m] = moved / moved.max((1, 2), keepdims=True)
+    of = np.full(n, -1)
+    of[some] = np.arange(len(some))
+    place = np.arange(n) - np.maximum.accumulate(np.where(follows, 0, np.arange(n)))  # of each segment in its text
+    carry = np.ones((n, k), np.float32)  # the label of the word before each segment
+    for j in range(1, int(place.max()) + 1):
+        now = np.flatnonzero(place == j)
+        v = np.einsum("ni,nij->nj", carry[now - 1], product[of[order[now - 1]]])
+        carry[now] = v / v.sum(1, keepdims=True)
+        before[order[now]] = carry[now] @ step
+    for j in range(int(place.max()), 0, -1):
+        now = np.flatnonzero(place == j)
+        v = np.einsum("nij,nj->ni", product[of[order[now]]], after[order[now]])
+        after[order[now - 1]] = v / v.sum(1, keepdims=True)
+    return before, after
+
+
 def fit(texts: list[str], langs: list[str], bits: int = BITS, words: int = TRAIN_WORDS, passes: int = 3, rate: float = 0.25, seed: int = 7):
     """(labels, weights, transitions, lexicon) from labelled texts, by Adagrad on the CRF's likelihood.
 
@@ -181,7 +230,7 @@ def label_words(slab: Slab, model) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not labels:
         return begin, end, doc, np.zeros((len(begin), 0), np.float32)
     score = emissions(weights, *word_features(slab, begin, end, lexicon, int(len(weights) - 1).bit_length() - 1))
-    return begin, end, doc, posteriors(score, transition, *segments(doc)) if len(begin) else np.zeros((0, len(labels)), np.float32)
+    return begin, end, doc, posteriors(score, transition, *segments(doc), doc=doc) if len(begin) else np.zeros((0, len(labels)), np.float32)
 
 
 def has_letter(slab: Slab) -> np.ndarray:
@@ -195,31 +244,41 @@ def has_letter(slab: Slab) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_DOCS):
-    """Fit on the ``rows`` labelled rows whose ids hash lowest; with fewer, on all."""
-    pool = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = pool.select(F.xxhash64(F.col(id_col).cast("string")).alias("h")).orderBy("h").limit(rows)
-    most = ids.agg(F.max("h")).first()[0]
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES):
+    """Fit on the ``rows`` labelled rows, of up to ``most_bytes`` each, whose ids hash lowest; with fewer, on all.
+
+    The sample goes to one task; the driver gets the model alone.
+    """
+    pool = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(F.col(text_col).cast("string")) <= most_bytes))
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    most = pool.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if most is None:
         return [], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.uint64)
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    sample = pool.where(h <= most).select(h.alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).orderBy("h", "l", "t").limit(rows).toArrow()
-    return fit(sample["t"].to_pylist(), sample["l"].to_pylist())
+    sample = pool.where(h <= most).select(h.alias("h"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).orderBy("h", "l", "t").limit(rows)
+
+    def run(batches):
+        texts, langs = [], []
+        for batch in batches:
+            texts += batch.column(1).to_pylist()
+            langs += batch.column(2).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, langs))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def languages(texts, model) -> tuple[list[str], np.ndarray]:
     """The language and its share of posterior mass, for each text of an Arrow column."""
     labels = model[0]
-    lang, share = [], [np.zeros(0)]
-    for slab in slabs(texts):
+    mass, letter = np.zeros((len(texts), max(1, len(labels)))), np.zeros(len(texts), bool)
+    for slab, *_ in pieces_of(texts, SLAB_BYTES, LONG_TEXT):
         begin, end, doc, p = label_words(slab, model)
-        mass = np.stack([np.bincount(doc, p[:, c] * np.minimum(end - begin, 16), slab.n) for c in range(len(labels))], 1) if labels else np.zeros((slab.n, 1))
-        total = mass.sum(1)
-        sure = has_letter(slab) & (total > 0)
-        best = mass.argmax(1)
-        lang += [labels[b] if s else "und" for b, s in zip(best, sure, strict=True)]
-        share.append(np.where(sure, mass[np.arange(slab.n), best] / np.maximum(total, 1e-9), 0.0).clip(0, 1))
-    return lang, np.concatenate(share)
+        for c in range(len(labels)):
+            mass[slab.lo : slab.hi, c] += np.bincount(doc, p[:, c] * np.sqrt(end - begin), slab.n)
+        letter[slab.lo : slab.hi] |= has_letter(slab)
+    total, best = mass.sum(1), mass.argmax(1)
+    sure = letter & (total > 0)
+    return [labels[b] if s else "und" for b, s in zip(best, sure, strict=True)], np.where(sure, mass[np.arange(len(texts)), best] / np.maximum(total, 1e-9), 0.0).clip(0, 1)
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +286,8 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was
     learned. Of equal shares the first language in order wins. Repeated rows
-    give repeated results; an empty table gives an empty result.
+    give repeated results; an empty table gives an empty result; texts of any
+    length are read whole. Other columns, whatever their names, are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -179,6 +179,26 @@ def test_op8_marginals_are_those_of_all_paths():
     assert np.allclose(p, want / total, atol=1e-4) and np.allclose(joint, pairs / total, atol=1e-3)
 
 
+def test_op8_chains_run_over_their_cuts():
+    """Cut every 256 words, 2,000 words have the marginals of one uncut chain."""
+    rng = np.random.default_rng(7)
+    sizes = [2000, 256, 257, 3, 700]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    score, transition = rng.normal(0, 1.5, (len(doc), 3)).astype(np.float32), rng.normal(0, 1, (3, 3)).astype(np.float32)
+    whole = op8_langid.posteriors(score, transition, *op8_langid.segments(doc, 1 << 20))
+    for limit in (1, 7, 256):
+        cut = op8_langid.posteriors(score, transition, *op8_langid.segments(doc, limit), doc=doc)
+        assert np.allclose(cut, whole, atol=1e-4)
+
+
+def test_op8_long_texts_and_clashing_names(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, 60, lang)), lang, "a") for i, lang in enumerate(["en", "de", "fr"] * 20)] + [(90, " ".join(words(rng, 60_000, "de")), None, "b"), (91, "x" * 300_000, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = {r["doc_id"]: r for r in op8_langid.identify(docs, op8_langid.train(docs)).collect()}
+    assert len(got) == len(rows) and got[90]["lang_pred"] == "de" and all(got[i]["lang_pred"] == lang for i, _, lang, _ in rows[:60])
+
+
 def test_op9(spark, corpus, tmp_path):
     table(spark, corpus).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in op9_mixing.op9_mixing(spark, str(tmp_path)).collect()}
