@@ -1,7 +1,9 @@
 """Documents to a training mix: five stages, each written and read again by whoever runs them.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept. All but the last return the columns of ``documents``.
+kept. All but the last return the columns of ``documents``, and other columns that
+docs has. Empty tables give empty results; texts of any length are read whole; ties
+go to the smaller id.
 """
 
 from __future__ import annotations
@@ -17,36 +19,40 @@ MIN_LANGUAGE_SHARE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only texts in one of the languages of the labelled rows stay."""
+    """Only texts in one of the languages of the labelled rows stay. Null texts and texts without a letter go; with no labelled rows nothing stays."""
     return op8_langid.in_known_language(docs, op8_langid.train(docs), MIN_LANGUAGE_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays, and of its repeated rows one."""
+    """Of each group of linked fingerprints the document with the smallest id stays; of rows alike in all columns one.
+
+    Rows that share an id and differ are all kept with it. Null texts are empty
+    and linked like any other; rows without an id stay.
+    """
     found = op10_simhash.near_duplicates(docs)
     gone = cut(found.where("id <> component").select(F.col("id").alias("doc_id")).distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = cut(found.groupBy("id").count().where("count > 1").select(F.col("id").alias("doc_id")))
     if twice.isEmpty():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates()).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; texts of which nothing is left go."""
+    """Passages that an earlier document has are cut out; texts of which nothing is left, null ones too, go. Rows without an id stay as they are."""
     spans = cut(op2_substrings.repeated_spans(docs))
     cut_out = op2_substrings.without_spans(docs, spans)
     return cut_out.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; with no items all stay."""
     leaks = op1_decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
     return docs.join(cut(leaks.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each time a document is drawn into the mix."""
+    """One row for each time a document is drawn into the mix; documents without words are never drawn."""
     return op7_mixing.mix(docs)
 
 

@@ -20,8 +20,6 @@ are exact. Runs and their edges are found after the join with the repeated hashe
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import cut, read
+from .session import cut, read, release
 from .textkit import U64, Slab, chained, mix, slabs
 
 RADIUS = 4
@@ -118,12 +116,6 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _drop_unused(spark: SparkSession) -> None:
-    """Shuffle files and checkpoints that nothing refers to any more go now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -240,7 +232,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     short_bits = bitmap(counted, "h")
     lines, pairs, crowded = near_lines(texts)
     line_bits = bitmap(pairs.select(F.explode(F.array("h", "other")).alias("h")), "h")
-    _drop_unused(docs.sparkSession)
+    release(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((short_bits, line_bits))
 
     def seen(batches):
@@ -282,8 +274,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = cut(texts.mapInArrow(seen, "id long, h long, lo long, hi long, keys array<long>, b array<int>, e array<int>, words array<int>, shingles array<int>"))
     shingles = cut(found.where("shingles is not null").select("h", "shingles"))
     runs = _true_runs(found.where("shingles is null").drop("h", "shingles"), counted)
+    held.destroy()  # found is written
     del found, counted
-    _drop_unused(docs.sparkSession)
+    release(docs.sparkSession)
     spans = _short_spans(runs).unionByName(_line_spans(lines, pairs, crowded, shingles))
     return _joined(spans)
 
@@ -368,9 +361,11 @@ def _line_spans(lines: DataFrame, pairs: DataFrame, crowded: DataFrame, shingles
     near = pairs.join(sets, "h").join(sets.select(F.col("h").alias("other"), F.col("s").alias("t")), "other").where(both >= SIMILARITY * (F.size("s") + F.size("t") - both))
     near = cut(near.select("h", "other"))
     classes = cut(connected_components(near.unionByName(block_links(crowded, near, sets)), "h", "other"))
-    placed = cut(lines.select("id", "h", "b", "e").join(classes, F.col("h") == F.col("node")).select("id", "b", "e", "component"))
-    kept = cut(placed.groupBy("component").agg(F.min(F.struct("id", "b")).alias("kept")))
-    rows = placed.join(kept, "component").where((F.col("id") != F.col("kept.id")) | (F.col("b") != F.col("kept.b")))
+    least = lines.groupBy("h").agg(F.min(F.struct("id", "b")).alias("kept")).join(classes, F.col("h") == F.col("node"))
+    kept = cut(least.groupBy("component").agg(F.min("kept").alias("kept")))
+    # a component's lines meet what is kept of it by their contents, of which a large component has many
+    by_content = cut(classes.join(kept, "component").select(F.col("node").alias("h"), "kept"))
+    rows = lines.select("id", "h", "b", "e").join(by_content, "h").where((F.col("id") != F.col("kept.id")) | (F.col("b") != F.col("kept.b")))
     return rows.select("id", "b", "e", F.col("kept.id").alias("source"))
 
 

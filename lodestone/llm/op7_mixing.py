@@ -20,6 +20,8 @@ from .session import cut, read
 
 #: Part of the entropy of even weights to reach, and the most passes over a source.
 ENTROPY_SHARE = 0.95
+#: Powers are sought up to here.
+MAX_POWER = 8.0
 MAX_REPEATS = 4.0
 #: Tokens to draw, as a multiple of those there are.
 BUDGET_FACTOR = 1.0
@@ -31,8 +33,7 @@ MAX_SOURCES = 100_000
 
 def token_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
-    bare = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, " +"))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
 def weights_at(shares: dict, power: float) -> dict:
@@ -46,12 +47,14 @@ def entropy(weights: dict) -> float:
     return -math.fsum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def solve_power(tokens: dict, entropy_share: float | None = ENTROPY_SHARE, max_repeats: float | None = MAX_REPEATS, budget_factor: float = BUDGET_FACTOR) -> float:
-    """The largest power in [0, 1] that meets the wanted entropy, raised as far as the repetition limit needs.
+def solve_power(tokens: dict, entropy_share: float | None = ENTROPY_SHARE, max_repeats: float | None = MAX_REPEATS, budget_factor: float = BUDGET_FACTOR, exact: bool = False) -> float:
+    """The power that meets the wanted entropy, moved towards 1 as far as the repetition limit needs.
 
-    Entropy grows and the smallest source's repeats grow as the power falls.
-    If the two aims disagree, the repetition limit wins. At power 1 every
-    source is repeated ``budget_factor`` times; a limit below that is refused.
+    Entropy falls as the power grows. Sources that have the wanted entropy or
+    more stay as they are (power 1); with ``exact`` the power is sought up to
+    MAX_POWER, and an entropy that no power reaches is refused. If the two aims
+    disagree, the repetition limit wins. At power 1 every source is repeated
+    ``budget_factor`` times; a limit below that is refused.
     """
     total = sum(tokens.values())
     if len(tokens) < 2 or not total:
@@ -60,26 +63,31 @@ def solve_power(tokens: dict, entropy_share: float | None = ENTROPY_SHARE, max_r
     if max_repeats is not None and max_repeats < budget_factor:
         raise ValueError("the budget repeats every source more often than allowed")
 
-    def bisect(holds_at_zero_side) -> float:
-        lo, hi = 0.0, 1.0  # the aim holds at lo's side
+    def bisect(lo: float, hi: float, holds) -> float:
+        """The power nearest to ``hi`` at which the aim, which holds at ``lo``, still holds."""
         for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if holds_at_zero_side(mid) else (lo, mid)
+            lo, hi = (mid, hi) if holds(mid) else (lo, mid)
         return lo
 
     power = 1.0
     if entropy_share is not None:
         want = entropy_share * math.log(len(shares))
+        enough = lambda a: entropy(weights_at(shares, a)) >= want
         if entropy(shares) < want:
-            power = bisect(lambda a: entropy(weights_at(shares, a)) >= want)
+            power = bisect(0.0, 1.0, enough)
+        elif exact and entropy(shares) > want + 1e-12:
+            if enough(MAX_POWER):
+                raise ValueError(f"no power up to {MAX_POWER:g} brings the entropy down to {entropy_share:g} of that of even weights")
+            power = bisect(1.0, MAX_POWER, enough)
     if max_repeats is not None:
-        most = lambda a: max(w * budget_factor / shares[k] for k, w in weights_at(shares, a).items())
-        if most(power) > max_repeats:
-            power = 1 - bisect(lambda b: most(1 - b) <= max_repeats)
+        within = lambda a: max(w * budget_factor / shares[k] for k, w in weights_at(shares, a).items()) <= max_repeats
+        if not within(power):
+            power = bisect(1.0, power, within)
     return power
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float | None = ENTROPY_SHARE, max_repeats: float | None = MAX_REPEATS, budget_factor: float = BUDGET_FACTOR, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy_share: float | None = ENTROPY_SHARE, max_repeats: float | None = MAX_REPEATS, budget_factor: float = BUDGET_FACTOR, seed: int = 42, exact: bool = False) -> DataFrame:
     """One row for each time a document is drawn: id, source, tokens, pass_no, block, weight, power, order_key.
 
     Null sources make a source of their own (null). Documents without words are
@@ -88,7 +96,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     which it is reached. Reading in the order of ``order_key`` interleaves the
     sources, so that every long stretch is near the target weights. Repeated rows are
     drawn as rows of their own; ties in hashed order go to the smaller id, then
-    to the row. Empty tables give an empty result.
+    to the row. Empty tables give an empty result; texts of any length are counted
+    whole. Other columns, whatever their names, are not read.
     """
     h = lambda *c: F.xxhash64(*c, F.lit(seed))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("tokens")).where("tokens > 0")
@@ -98,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if len(found) > MAX_SOURCES:
         raise ValueError("more sources than weights can be solved for on the driver")
     tokens = {r["source"]: r["n"] for r in found}
-    power = solve_power(tokens, entropy_share, max_repeats, budget_factor)
+    power = solve_power(tokens, entropy_share, max_repeats, budget_factor, exact)
     total = sum(tokens.values())
     weights = weights_at({k: v / total for k, v in tokens.items()}, power) if total else {}
     plan = [(k, n, min(MAX_BLOCKS, max(1, n // TOKENS_PER_BLOCK)), weights[k], int(round(weights[k] * total * budget_factor))) for k, n in sorted(tokens.items(), key=lambda x: (x[0] is not None, x[0]))]

@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zlib
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: So many cuts after which the driver lets go of what it does not use.
+CUTS_A_RELEASE = 12
+_cuts = count(1)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more go now, and the driver's heap shrinks, not when it happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a single machine) is a temporary folder set.
+    unset on a single machine (tests) is a temporary folder set.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
+    if next(_cuts) % CUTS_A_RELEASE == 0:
+        release(spark)
     return df.checkpoint(eager)
 
 

@@ -562,6 +562,51 @@ def test_op7_power():
     assert op7_mixing.solve_power({"a": 5}) == 1.0 and op7_mixing.solve_power({"a": 5, "b": 5}) == 1.0
     with pytest.raises(ValueError):
         op7_mixing.solve_power(tokens, 0.9, 0.5, 1.0)
+    p = op7_mixing.solve_power({"a": 500, "b": 400, "c": 300}, 0.8, None, exact=True)
+    assert p > 1 and op7_mixing.entropy(op7_mixing.weights_at({"a": 5 / 12, "b": 4 / 12, "c": 3 / 12}, p)) == pytest.approx(0.8 * math.log(3), abs=1e-6)
+    assert op7_mixing.solve_power({"a": 500, "b": 400, "c": 300}, 0.8, None) == 1.0
+    with pytest.raises(ValueError):
+        op7_mixing.solve_power({"a": 5, "b": 5}, 0.5, None, exact=True)
+    p = op7_mixing.solve_power({"a": 500, "b": 400, "c": 300}, 0.6, 1.5, exact=True)
+    assert 1 < p < 8 and max(w / s for w, s in zip(op7_mixing.weights_at({0: 5 / 12, 1: 4 / 12, 2: 3 / 12}, p).values(), (5 / 12, 4 / 12, 3 / 12), strict=True)) == pytest.approx(1.5, abs=1e-6)
+
+
+def test_op7_draws_by_brute_force(spark, monkeypatch):
+    """Which rows are drawn, how often and in which block, from the hashes alone."""
+    monkeypatch.setattr(op7_mixing, "TOKENS_PER_BLOCK", 300)
+
+    def h(*parts):
+        x = 42
+        for p in parts:
+            x = xxhash.xxh64_intdigest(p.encode(), x)
+        x = xxhash.xxh64_intdigest((42).to_bytes(4, "little"), x)
+        return x - (1 << 64) if x >> 63 else x
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, rng.randrange(1, 60))), "en", rng.choice(["big"] * 9 + ["mid", "mid", None])) for i in range(200)] + [(300, "long " * 20_000, "en", "long")]
+    got = Counter((r["doc_id"], r["block"]) for r in op7_mixing.mix(table(spark, rows), entropy_share=0.9, max_repeats=None, budget_factor=1.3).collect())
+    size = {i: len(WORD.findall(t)) for i, t, *_ in rows}
+    by = {}
+    for i, _, _, s in rows:
+        by.setdefault(s, []).append(i)
+    tokens = {s: sum(size[i] for i in ids) for s, ids in by.items()}
+    total = sum(tokens.values())
+    shares = {s: n / total for s, n in tokens.items()}
+    weights = op7_mixing.weights_at(shares, op7_mixing.solve_power(tokens, 0.9, None, 1.3))
+    want = Counter()
+    for s, ids in by.items():
+        n = tokens[s]
+        blocks = max(1, n // 300)
+        whole, rest = divmod(round(weights[s] * total * 1.3), n)
+        block = {i: h(str(i)) % blocks for i in ids}
+        for b in sorted(set(block.values()), key=lambda b: (h(str(b), str(whole)), b)):
+            left = rest
+            for i in sorted((i for i in ids if block[i] == b), key=lambda i: (h(str(i), "in"), i)):
+                if k := whole + (left > 0):
+                    want[i, b] = k
+                left -= size[i]
+            rest -= sum(size[i] for i in ids if block[i] == b)
+    assert got == want
 
 
 def test_op7_quotas(spark):
