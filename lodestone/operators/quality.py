@@ -281,12 +281,12 @@ def h17(spark, d):
 
 def _cases(spark, d):
     """Wanted parts of each order, and the order's lines ranked by price, as cases and hits."""
-    li = table(spark, d, "lineitem").where("l_orderkey % 3 = 0")
+    li = table(spark, d, "lineitem")
     hits = li.select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("id"), F.col("l_extendedprice").alias("score"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")).cast("long").alias("rank"))
     return li.where("l_quantity > 30").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("id")), hits
 
 
-_HITS = "hits AS (SELECT l_orderkey AS case_id, l_partkey AS id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem WHERE l_orderkey % 3 = 0), cases AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS id FROM lineitem WHERE l_orderkey % 3 = 0 AND l_quantity > 30)"
+_HITS = "hits AS (SELECT l_orderkey AS case_id, l_partkey AS id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem), cases AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS id FROM lineitem WHERE l_quantity > 30)"
 
 
 @query("E01_best_rank", f"WITH {_HITS} SELECT case_id, coalesce(min(rank), 0) AS rank FROM cases LEFT JOIN hits USING (case_id, id) GROUP BY case_id")

@@ -21,10 +21,22 @@ registry = Registry()
 query = registry
 #: Fusion constants, the vector arm's floor, and the boost of official sources.
 HYBRID_K, MULTI_K, SIMILAR_K, FLOOR, OFFICIAL = 60, 5, 60, 0.05, 1.15
-#: Stems that add a subquery to a question, in order.
-VOCABULARY = (
-    (("estorn", "devolu", "refund"), "devolução pix refund"), (("webhook", "notific", "avis"), "webhook notificação pix"), (("chave", "dict", "evp"), "chave DICT pix"), (("endpoint", "api"), "endpoint API"), (("certific", "mtls", "icp"), "certificado mTLS ICP-Brasil"), (("qr",), "QR Code Pix BR Code"),
-)
+#: Stems that add a subquery to a question, in order, and whether they are in use.
+VOCABULARY_ENTRIES = (
+    (("estorn", "devolu", "refund"), "devolução pix refund", True),
+    (("webhook", "notific", "avis"), "webhook notificação pix", True),
+    (("chave", "dict", "evp"), "chave DICT pix", True),
+    (("endpoint", "api"), "endpoint API", True),
+    (("certific", "mtls", "icp"), "certificado mTLS ICP-Brasil", True),
+    (("qr",), "QR Code Pix BR Code", True),
+    (("liquida", "spi"), "liquidação SPI settlement", True),
+    (("txid", "transac"), "consultar cobrança por txid", True),
+    (("e2eid", "endtoend", "fim"), "pix e2eid endToEndId identificador fim a fim", True),
+    (("pacs",), "pacs.008 customer credit transfer ordem de crédito", False),
+    (("pacs",), "pacs.004 payment return devolução entre instituições", False),
+    (("camt",), "camt.054 account notification extrato lançamento", False),
+)
+VOCABULARY = tuple((stems, subquery) for stems, subquery, in_use in VOCABULARY_ENTRIES if in_use)
 #: Types that belong to the same subject.
 ADJACENT = {"ApiEndpoint": ("PacsMessage", "CamtMessage", "Reference", "ManualSection"), "PacsMessage": ("ApiEndpoint", "CamtMessage"), "CamtMessage": ("ApiEndpoint", "PacsMessage"), "Reference": ("ApiEndpoint", "ManualSection"), "ManualSection": ("ApiEndpoint", "Reference")}
 
@@ -441,12 +453,12 @@ def g06(spark, d):
     return found.agg(F.count("*").alias("matched")).join(fresh.agg(F.count("*").alias("new")))
 
 
-@query("G05_cross_links", """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS term FROM lineitem WHERE l_orderkey % 50 = 0), u AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 25),
+@query("G05_cross_links", """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey || '-' || l_suppkey AS term FROM lineitem), u AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 25),
 p AS (SELECT a.id, b.id AS peer, count(*) AS shared FROM t a JOIN t b USING (term) SEMI JOIN u USING (term) WHERE a.id <> b.id GROUP BY ALL),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, peer) AS rank FROM p) WHERE rank <= 6)
 SELECT t.id::VARCHAR AS id, sha256(t.id || coalesce(chr(10) || chr(10) || '## Related' || chr(10) || chr(10) || any_value(l), '')) AS content_sha FROM (SELECT DISTINCT id FROM t) t LEFT JOIN (SELECT id, array_to_string(list('- [' || peer || '](' || peer || ')' ORDER BY rank), chr(10)) AS l FROM r GROUP BY id) x USING (id) GROUP BY t.id""")
 def g05(spark, d):
-    t = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("term")).distinct()
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("term")).distinct()
     peers = shared_term_peers(t)
     docs = t.select(F.col("id").cast("string").alias("id")).distinct().select("id", F.col("id").alias("title"), F.col("id").alias("body"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer"))), lambda x: F.concat(F.lit("- ["), x.peer.cast("string"), F.lit("]("), x.peer.cast("string"), F.lit(")"))), "\n")

@@ -22,8 +22,21 @@ from .retrieval import add_edges, embed, replace_edges
 from .temporal import record_facts, upsert_concepts, upsert_latest
 
 TABLES = {"concept": schemas.CONCEPT, "embedding": schemas.EMBEDDING, "edge": schemas.EDGE, "fact": schemas.FACT, "epoch": schemas.EPOCH}
-#: Message definitions known without a source: id, family, title.
-MESSAGES = (("pacs.002", "pacs", "FI to FI Payment Status Report"), ("pacs.004", "pacs", "Payment Return"), ("pacs.008", "pacs", "FI to FI Customer Credit Transfer"))
+#: Message definitions known without a source: id, family, title, intent terms, related messages.
+MESSAGES = (
+    ("pacs.008", "pacs", "FI to FI Customer Credit Transfer", "credit transfer interbank settlement, customer credit transfer, FI to FI, transferência de crédito interbancária, ordem de pagamento Pix, liquidação interbancária", ("pacs.002", "pacs.004")),
+    ("pacs.002", "pacs", "FI to FI Payment Status Report", "payment status report, transaction status, accepted rejected pending settled, relatório de status de pagamento, confirmação rejeição Pix", ("pacs.008",)),
+    ("pacs.004", "pacs", "Payment Return", "payment return, reversal of funds, refund after settlement, devolução de Pix, retorno de pagamento, estorno", ("pacs.008", "camt.056")),
+    ("pacs.007", "pacs", "FI to FI Payment Reversal", "payment reversal, cancel settled payment, reversão de pagamento, cancelamento de liquidação", ("pacs.008",)),
+    ("pacs.009", "pacs", "FI Credit Transfer", "FI credit transfer, liquidity settlement RTGS STR, transferência entre instituições, liquidação no SPI reservas", ("pacs.002",)),
+    ("pacs.003", "pacs", "FI to FI Customer Direct Debit", "direct debit collection, débito direto, cobrança por débito", ("pacs.002",)),
+    ("pacs.010", "pacs", "FI Direct Debit", "FI direct debit, débito direto interbancário", ("pacs.002",)),
+    ("camt.056", "camt", "FI to FI Payment Cancellation Request", "payment cancellation request, solicitação de cancelamento, pedido de devolução Pix", ("camt.029", "pacs.004")),
+    ("camt.029", "camt", "Resolution of Investigation", "resolution of investigation, cancellation response, resposta a solicitação de cancelamento", ("camt.056",)),
+    ("camt.052", "camt", "Bank to Customer Account Report", "account statement notification, account report, intraday balance and entries, extrato de conta intradia, relatório de conta, notificação de movimentação", ("camt.053", "camt.054")),
+    ("camt.053", "camt", "Bank to Customer Statement", "account statement, end of day statement, bank to customer statement, extrato bancário de fim de dia, demonstrativo de conta, statement camt", ("camt.052", "camt.054")),
+    ("camt.054", "camt", "Bank to Customer Debit/Credit Notification", "debit credit notification, credit advice, account notification, aviso de crédito e débito, notificação de lançamento, statement notification", ("camt.052", "camt.053")),
+)
 
 
 class Store:
@@ -133,14 +146,16 @@ def cite(store: Store, found: DataFrame, apply: bool = False) -> dict[str, int]:
 
 
 def message_catalogue(spark: SparkSession, messages: Iterable[tuple] = MESSAGES) -> DataFrame:
-    """Built-in message definitions as rows; ValueError for one without id or family."""
+    """Built-in message definitions as rows in the order of their ids; ValueError for one without id or family."""
     rows = list(messages)
-    if any(not i or not family for i, family, _ in rows):
+    if any(not m[0] or not m[1] for m in rows):
         raise ValueError("a message needs an id and a family")
-    m = spark.createDataFrame(rows, "m string, family string, title string")
+    m = spark.createDataFrame(rows, "m string, family string, title string, intent string, links array<string>")
     kind = F.when(F.col("family") == "pacs", "PacsMessage").when(F.col("family") == "camt", "CamtMessage").otherwise("IsoMessage")
-    body = F.concat(F.lit("# "), "title", F.lit("\n\nMessage "), "m", F.lit("."))
-    return m.select(F.concat(F.lit("messages/"), "m", F.lit(".md")).alias("id"), kind.alias("type"), "title", body.alias("body"), F.lit("en").alias("language"), F.array(F.lit("iso20022"), F.col("family"), F.replace("m", F.lit("."), F.lit(""))).alias("tags"), F.concat(F.lit("iso20022:"), "m").alias("source_uri")).orderBy("id")
+    links = F.array_join(F.transform("links", lambda x: F.concat(F.lit("- ["), x, F.lit("](messages/"), x, F.lit(".md)"))), "\n")
+    body = F.concat(F.lit("# "), "title", F.lit("\n\nMessage "), "m", F.lit("."), F.when(F.size("links") > 0, F.concat(F.lit("\n\n## Related messages\n\n"), links)).otherwise(""))
+    tags = F.array(F.lit("iso20022"), F.col("family"), F.replace("m", F.lit("."), F.lit("")))
+    return m.select(F.concat(F.lit("messages/"), "m", F.lit(".md")).alias("id"), kind.alias("type"), "title", body.alias("body"), F.col("intent").alias("intent_terms"), F.lit("en").alias("language"), tags.alias("tags"), F.concat(F.lit("iso20022:"), "m").alias("source_uri")).orderBy("id")
 
 
 def export_bundle(folder: str, archive: str) -> int:
