@@ -1,14 +1,17 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
 A softmax regression over word 1- to 3-grams is fitted on the driver from the
-templates below, cut and thinned copies of them, and paragraphs that only look
-like licences. Its features all hold an anchor, a word of the templates that
+templates below, cut and thinned copies of them, and of the class unknown:
+paragraphs that only look like licences, and notices in the usual wordings of
+licences with made-up names, so that a family's own words decide. Its features all hold an anchor, a word of the templates that
 everyday text lacks, so a paragraph without any anchor scores as the bias alone:
-unknown. Texts without anchors are therefore settled by a look at their words. Of
+unknown. Paragraphs are lines, a wrapped line being joined to the next. Texts without anchors are therefore settled by a look at their words. Of
 the others' paragraphs each distinct text is classified once: its n-grams meet
-the sparse weights in a broadcast join, and its score is their sum. Scores become probabilities with a temperature fitted on held-out copies; below
-MIN_PROBABILITY a paragraph is of the unknown class. A prediction counts as
-confirmed if enough of the paragraph's or the template's trigrams are shared.
+the sparse weights in a broadcast join, and its score is their sum. Scores become probabilities with a temperature that a fit without
+some wordings and made-up names gets on those; below MIN_PROBABILITY a paragraph
+is of the unknown class. A prediction counts as confirmed if enough of the
+trigrams that a template of the family shares with no other family, and with no
+made-up licence, are in the paragraph.
 
 On executors everything is DataFrame operations; only paragraphs with an anchor
 are shuffled.
@@ -32,18 +35,24 @@ MIN_PROBABILITY = 0.6
 MIN_SHARED = 0.3
 #: Notices of public licences: fixed values, in their usual wording.
 TEMPLATES = {
-    "AGPL-3.0": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3", "licensed under the gnu affero general public license version 3", "released under the agpl 3.0"],
+    "AGPL-3.0": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation version 3", "licensed under the gnu affero general public license version 3", "released under the agpl 3.0", "spdx license identifier agpl 3.0 or later"],
     "Apache-2.0": ["licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0", "licensed under the apache license version 2.0", "released under the apache 2.0 license", "spdx license identifier apache 2.0"],
-    "BSD": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice", "use of this source code is governed by a bsd style license that can be found in the license file", "released under the bsd 3 clause license", "licensed under the bsd license"],
+    "Artistic-2.0": ["this program is free software you can redistribute it and or modify it under the terms of the artistic license 2.0", "released under the artistic license 2.0", "licensed under the artistic license version 2.0"],
+    "BSD": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice", "use of this source code is governed by a bsd style license that can be found in the license file", "released under the bsd 3 clause license", "licensed under the bsd license", "spdx license identifier bsd 3 clause"],
     "CC-BY": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0", "available under the cc by 3.0 license"],
     "CC-BY-NC": ["this work is licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc 4.0", "available under the cc by nc 3.0 license"],
     "CC-BY-SA": ["this work is licensed under a creative commons attribution sharealike 4.0 international license", "licensed under cc by sa 4.0", "text is available under the cc by sa 3.0 license"],
+    "CDDL-1.0": ["the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except in compliance with the license", "licensed under the common development and distribution license 1.0", "released under the cddl 1.0"],
     "CC0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0", "dedicated to the public domain under cc0 1.0"],
-    "GPL": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this work is licensed under the gnu general public license version 3", "released under the gpl version 2", "licensed under the gnu general public license version 2"],
-    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "released under the isc license"],
-    "LGPL": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "licensed under the gnu lesser general public license version 2.1", "released under the lgpl 2.1"],
-    "MIT": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "released under the mit license", "licensed under the mit license", "the software is provided as is without warranty of any kind express or implied mit license"],
-    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0", "licensed under the mozilla public license 2.0", "released under mpl 2.0"],
+    "GPL": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "this work is licensed under the gnu general public license version 3", "released under the gpl version 2", "licensed under the gnu general public license version 2", "spdx license identifier gpl 2.0 or later", "released under gpl version 2", "licensed under gplv3", "licensed under gplv2"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "released under the isc license", "spdx license identifier isc"],
+    "LGPL": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "licensed under the gnu lesser general public license version 2.1", "released under the lgpl 2.1", "spdx license identifier lgpl 2.1 or later"],
+    "MIT": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "released under the mit license", "licensed under the mit license", "the software is provided as is without warranty of any kind express or implied mit license", "spdx license identifier mit"],
+    "MS-PL": ["this source is subject to the microsoft public license", "licensed under the microsoft public license ms pl", "released under the ms pl"],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0", "licensed under the mozilla public license 2.0", "released under mpl 2.0", "spdx license identifier mpl 2.0"],
+    "OFL-1.1": ["this font software is licensed under the sil open font license version 1.1", "released under the sil ofl 1.1", "the font is available under the open font license"],
+    "PostgreSQL": ["licensed under the postgresql license", "released under the postgresql license a liberal open source license"],
+    "Python-2.0": ["licensed under the python software foundation license version 2", "released under the psf license"],
     "Proprietary": ["all rights reserved no part of this publication may be reproduced without the prior written permission of the copyright holder", "proprietary and confidential unauthorized copying is strictly prohibited", "copyright all rights reserved"],
 }
 #: Paragraphs that share words with licences and are none.
@@ -52,9 +61,14 @@ LOOKALIKES = [
     "the mit students and the apache people met in public", "source code and binary forms of the program were copied", "a creative person works in common", "the university of california published the notice",
     "permission denied while reading the file", "the warranty of the car expired", "conditions of use may change", "the foundation published the following documents", "rights of the workers were reserved", "the license plate of the car", "copyright law is complex",
 ]
+#: Wordings of notices, and words to make names of licences from that no family has.
+NOTICES = ("licensed under the {} license", "licensed under the {} license version {}", "released under the {} license", "released under the {} {}", "licensed under the {} public license {}", "licensed under the {} public license version {}", "spdx license identifier {} {}", "spdx license identifier {}", "available under the {} {} license", "this program is free software you can redistribute it and or modify it under the terms of the {} license", "this work is licensed under a {} license", "you may not use this file except in compliance with the {} license", "dedicated to the public under {} {}", "subject to the terms of the {} public license v {}", "the {} software is provided as is without warranty of any kind express or implied", "permission is granted to anyone to use this {} software for any purpose")
+NAMES = "harbor lantern copper meadow saffron quartz willow falcon ember juniper cobalt prairie walnut glacier orchid timber summit velvet canyon marble thistle beacon hazel raven cedar".split()
 #: Everyday words that stop-word lists lack: never anchors.
 COMMON = "a all and any as at be by can for from free found he his if in is it its may met no not of on one only option or other part people person provided public published the that then there this to use used was with without work you your above after following kind law either later more most each mit sa nc v 1 2 3 1.0 2.0 2.1 3.0 4.0".split()
 WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: A line end inside a sentence, with the next line's comment mark.
+WRAPPED = "(?<=[^\\s.!?:;])[ \\t]*\\r?\\n[ \\t]*(?:#+|//+|\\*+|--+|;+)?[ \\t]*(?=[^\\s#*/;])"
 
 
 LANGUAGES = ("english", "german", "french", "spanish", "portuguese", "italian", "dutch", "swedish", "danish", "norwegian")
@@ -78,25 +92,36 @@ def trained(seed: int = 5, passes: int = 30, rate: float = 0.6, decay: float = 1
     anchors = sorted({w for ts in TEMPLATES.values() for t in ts for w in split(t) if w.isalpha()} - everyday_words())
     held = set(anchors)
     feature = lambda words: {g for g in _grams(words) if held & set(g.split())}
-    rows: list[tuple[set[str], int]] = []
+    rows: list[tuple[set[str], int, bool]] = []  # features, class, is it left out of the fit for the temperature
     for k, family in enumerate(families):
-        for text in TEMPLATES.get(family, LOOKALIKES):
-            words = split(text)
-            rows.append((feature(words), k))
+        texts = TEMPLATES.get(family, LOOKALIKES)
+        for n, text in enumerate(texts):
+            words, out = split(text), len(texts) > 2 and n == 1
+            rows.append((feature(words), k, out))
             for _ in range(3):
-                rows.append((feature([w for w in words if rng.random() > 0.08]), k))
+                rows.append((feature([w for w in words if rng.random() > 0.08]), k, out))
                 if len(words) > 16:
                     at = rng.randrange(len(words) - 12)
-                    rows.append((feature(words[at : at + 12 + rng.randrange(8)]), k))
+                    rows.append((feature(words[at : at + 12 + rng.randrange(8)]), k, out))
     for _ in range(60):  # anchors in a meaningless order
-        rows.append((feature([rng.choice(anchors if rng.random() < 0.4 else COMMON) for _ in range(12)]), len(families) - 1))
+        rows.append((feature([rng.choice(anchors if rng.random() < 0.4 else COMMON) for _ in range(12)]), len(families) - 1, False))
+    rows += [(feature(split(t)), len(families) - 1, n % 4 == 0) for n, t in enumerate(made_up(rng))]
     rng.shuffle(rows)
-    test, train = rows[: len(rows) // 6], rows[len(rows) // 6 :]
-    weights: dict[str, list[float]] = {}
-    bias = [0.0] * len(families)
-    bias[-1] = 2.0
 
-    def logits(x):
+    def fit(train):
+        weights: dict[str, list[float]] = {}
+        bias = [0.0] * (len(families) - 1) + [2.0]
+        for n in range(passes):
+            for x, y, _ in train:
+                p = softmax(logits(weights, bias, x))
+                step = rate / (1 + 0.1 * n) / math.sqrt(max(1, len(x)))
+                for g in x:
+                    w = weights.setdefault(g, [0.0] * len(families))
+                    for c, v in enumerate(p):
+                        w[c] -= step * (v - (c == y)) + decay * w[c]
+        return weights, bias
+
+    def logits(weights, bias, x):
         out = bias[:]
         for g in x:
             if g in weights:
@@ -107,22 +132,36 @@ def trained(seed: int = 5, passes: int = 30, rate: float = 0.6, decay: float = 1
     def softmax(z, temperature=1.0):
         top = max(z)
         e = [math.exp((v - top) / temperature) for v in z]
-        return [v / sum(e) for v in e]
-
-    for n in range(passes):
-        for x, y in train:
-            p = softmax(logits(x))
-            step = rate / (1 + 0.1 * n) / math.sqrt(max(1, len(x)))
-            for g in x:
-                w = weights.setdefault(g, [0.0] * len(families))
-                for c, v in enumerate(p):
-                    w[c] -= step * (v - (c == y)) + decay * w[c]
-    loss = lambda t: -sum(math.log(max(softmax(logits(x), t)[y], 1e-12)) for x, y in test)
-    temperature = min((0.5 + 0.1 * k for k in range(40)), key=loss)
+        total = sum(e)
+        return [v / total for v in e]
+
+    part = fit([r for r in rows if not r[2]])
+    loss = lambda t: -sum(math.log(max(softmax(logits(*part, x), t)[y], 1e-12)) for x, y, out in rows if out)
+    temperature = min((0.5 + 0.1 * k for k in range(60)), key=loss)
+    weights, bias = fit(rows)
     kept = {g: [round(v, 4) for v in w] for g, w in sorted(weights.items()) if max(map(abs, w)) > 0.05}
     return families, anchors, kept, bias, temperature
 
 
+def made_up(rng: random.Random) -> list[str]:
+    """Notices of licences that do not exist: each wording with ten names."""
+    name = lambda: " ".join(rng.sample(NAMES, rng.randrange(1, 3)))
+    return [n.format(name(), rng.choice(["1.0", "1.1", "1.2", "2", "2.0", "2.1", "3", "3.0", "4.0", "version 2"])) for n in NOTICES for _ in range(10)]
+
+
+@lru_cache(maxsize=1)
+def own_trigrams() -> dict[tuple[str, int], set[str]]:
+    """For each template (family, number) its trigrams that no other family's template and no made-up notice has; all of them if there is none."""
+    triples = lambda t: {" ".join(w[k : k + 3]) for w in [re.findall(WORD, t)] for k in range(len(w) - 2)}
+    owners: dict[str, set] = {}
+    for family, texts in [*TEMPLATES.items(), *((UNKNOWN, [t]) for t in [*LOOKALIKES, *made_up(random.Random(1))])]:
+        for t in texts:
+            for g in triples(t):
+                owners.setdefault(g, set()).add(family)
+    own = {(x, n): {g for g in triples(t) if owners[g] == {x}} for x, ts in TEMPLATES.items() for n, t in enumerate(ts)}
+    return {k: v or triples(TEMPLATES[k[0]][k[1]]) for k, v in own.items()}
+
+
 def classify(texts: DataFrame, text_col: str = "paragraph_text") -> DataFrame:
     """(text, family, probability, shared) for each row of distinct lower-cased paragraphs with an anchor."""
     spark = texts.sparkSession
@@ -137,8 +176,7 @@ def classify(texts: DataFrame, text_col: str = "paragraph_text") -> DataFrame:
     total = sum((F.exp((F.col(f"w{c}") - F.col("top")) / temperature) for c in range(len(families))), F.lit(0.0))
     family = F.coalesce(*[F.when(F.col(f"w{c}") == F.col("top"), F.lit(x)) for c, x in enumerate(families)])
     found = cut(found.withColumn("top", top).select("t", "threes", family.alias("family"), (1.0 / total).alias("probability")))
-    triples = lambda t: [" ".join(w[k : k + 3]) for w in [re.findall(WORD, t)] for k in range(len(w) - 2)]
-    known = [(x, n, g, len(set(triples(t)))) for x, ts in TEMPLATES.items() for n, t in enumerate(ts) for g in dict.fromkeys(triples(t))]
+    known = [(x, n, g, len(grams)) for (x, n), grams in own_trigrams().items() for g in sorted(grams)]
     known = F.broadcast(spark.createDataFrame(known, "family string, template int, gram string, size int"))
     both = found.select("t", "family", F.size("threes").alias("own"), F.explode("threes").alias("gram")).join(known, ["family", "gram"]).groupBy("t", "template", "own", "size").agg(F.count("*").alias("n"))
     shared = both.groupBy("t").agg(F.max(F.col("n") / F.least("own", "size")).alias("shared"))
@@ -146,10 +184,10 @@ def classify(texts: DataFrame, text_col: str = "paragraph_text") -> DataFrame:
 
 
 def anchored_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, paragraph, paragraph_text): the distinct lower-cased lines that hold an anchor."""
+    """(_id, paragraph, paragraph_text): the distinct lower-cased paragraphs that hold an anchor."""
     anchors = F.array(*map(F.lit, trained()[1]))
     has_anchor = lambda c: F.arrays_overlap(F.split(c, "[^a-z0-9]+"), anchors)
-    low = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("low")).where(has_anchor(F.col("low")))
+    low = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("low")).where(has_anchor(F.col("low"))).withColumn("low", F.regexp_replace("low", WRAPPED, " "))
     lines = low.select("_id", F.posexplode(F.split("low", "\n")).alias("paragraph", "paragraph_text"))
     return lines.where(has_anchor(F.col("paragraph_text"))).distinct()
 
@@ -157,7 +195,7 @@ def anchored_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFram
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_probability: float = MIN_PROBABILITY, min_shared: float = MIN_SHARED) -> DataFrame:
     """One row for each row of ``docs``: id, licences, family, probability, n_confirmed, n_unknown.
 
-    Paragraphs are \\n-split lines. ``licences`` lists, for each paragraph whose
+    Paragraphs are lines, joined where one is wrapped. ``licences`` lists, for each paragraph whose
     likeliest class is a family, struct(paragraph, family, probability, shared,
     confirmed), in order; it is confirmed with ``min_probability`` and
     ``min_shared``, else it counts in n_unknown. family and probability are

@@ -533,6 +533,17 @@ def test_op5_knows_its_templates(spark):
     assert right >= 0.9 * total
 
 
+def test_op5_unknown_licences_and_wrapped_headers(spark):
+    """Licences of no family, which no template and no made-up name has, are not confirmed as one; a wrapped header is one paragraph."""
+    unknown = ["Licensed under the Eclipse Public License 2.0", "SPDX-License-Identifier: WTFPL", "Licensed under the EUPL, version 1.2", "Business Source License 1.1", "Licensed under the zlib license", "SPDX-License-Identifier: EPL-2.0", "Released under the Boost Software License 1.0", "This software is provided 'as-is', without any express or implied warranty."]
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    known = [(gpl, "GPL"), ("SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("Released under GPL version 2", "GPL"), ("The text is under the\nCC BY-SA 4.0", "CC-BY-SA")]
+    docs = spark.createDataFrame(list(enumerate([*unknown, *(t for t, _ in known)])), "doc_id long, text string")
+    got = [r for r in op5_licence.scan_licences(docs).orderBy("doc_id").collect()]
+    assert [r["family"] for r in got] == ["none"] * len(unknown) + [f for _, f in known]
+    assert got[len(unknown)]["n_confirmed"] == 1 and got[len(unknown)]["n_unknown"] == 0
+
+
 MESSAGE = "conv_id long, turn long, role string, text string"
 
 
