@@ -451,7 +451,7 @@ def test_op2_extends_as_far_as_any_copy_agrees(spark):
     assert got == {k: (100 - reach(k, 0), 110 + reach(k, 1)) for k in range(12, 240)}
 
 
-def test_op1(spark):
+def test_op1(spark, monkeypatch):
     rng = random.Random(6)
     items = [(k, " ".join(words(rng, rng.randrange(15, 55), ("en", "de", "fr")[k % 3]))) for k in range(30)] + [(30, None), (31, " "), (None, "no id")]
     rows, want = [], set()
@@ -475,7 +475,23 @@ def test_op1(spark):
     assert len(got & want) >= 0.9 * len(want) and not got - want
     assert {(i, k) for i, k in want if i % 8 == 4 or i == 122} <= got
     assert op1_decontaminate.find_leaks(docs.limit(0), bench).count() == 0 and op1_decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
-    assert {(r["doc_id"], r["item_id"]) for r in op1_decontaminate.find_leaks(docs, bench, item_block=7).collect()} >= {x for x in got if x[0] % 8 == 4}
+    assert {(r["doc_id"], r["item_id"]) for r in op1_decontaminate.find_leaks(docs, bench, item_block=7).collect()} == got
+    # the latent search against a check of every passage for every item
+    monkeypatch.setattr(op1_decontaminate, "COSINE", -1e9)
+    every = {(r["doc_id"], r["item_id"]) for r in op1_decontaminate.find_leaks(docs, bench).collect()}
+    assert got <= every and len(got) >= 0.95 * len(every)
+
+
+def test_op1_more_items_than_dimensions(spark, monkeypatch):
+    """With a space smaller than the items' span, and long texts, verbatim leaks are still found."""
+    monkeypatch.setattr(op1_decontaminate, "RANK", 12)
+    rng = random.Random(16)
+    items = [(k, " ".join(words(rng, 40))) for k in range(40)]
+    rows = [(i, " ".join([*words(rng, 150), items[i][1], *words(rng, 100)])) for i in range(40)] + [(100 + i, " ".join(words(rng, 300))) for i in range(60)]
+    rows += [(200, " ".join([*words(rng, 100_000), items[7][1], *words(rng, 1000)])), (201, "x" * 200_000)]
+    docs = spark.createDataFrame([(i, t, 1.0, 2) for i, t in rows], "doc_id long, text string, cosine double, item_id int")
+    got = {(r["doc_id"], r["item_id"]) for r in op1_decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(40)} | {(200, 7)}
 
 
 def test_longest_common_subsequence():
