@@ -1,14 +1,18 @@
-"""Quotation linking: quoted lines are traced to the message that first said them.
-
-A line's quote level is the number of leading '>' (spaces between allowed). Each
-quoted line is normalised and hashed with its conversation; the earliest
-message of the conversation that has the same line unquoted is its original. A
-message answers the original of most of its level-1 lines, or else the message
-before it. Pointer doubling over these parents gives each message's thread root
-and depth; ordering by (conversation, root_turn, turn) reads a conversation in
-reply order, without quotes.
-
-All of it is DataFrame expressions; every join is on (conversation, line) or
+"""Quotation linking: quoted passages are traced to the message that first said them.
+
+A line's quote level is the number of leading '>' (spaces between allowed). A
+passage is a run of lines of one level without an empty line between, its lines
+joined by a space, lower-cased, its white space single spaces; so a re-wrapped
+quotation is the same passage. Passages, and their lines for quotations of a
+part, are hashed with their conversation. The earliest message that has the
+same text unquoted is the original of a quotation, and the earliest that has it
+one level less deep the message it was quoted from. A message answers the one
+that most of its passages were quoted from, level 1 before the inner levels, or
+else the message before it. Pointer doubling over these parents gives each
+message's thread root and depth; ordering by (conversation, root_turn, turn)
+reads a conversation in reply order, without quotes.
+
+All of it is DataFrame expressions; every join is on (conversation, piece) or
 (conversation, turn), so no conversation is gathered in one task.
 """
 
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from .session import cut, read
 
 MARKS = "^[ \\t]*(>[ \\t]*)+"
-#: Shorter normalised lines (in characters) are not evidence of a quotation.
+#: Shorter normalised lines (in characters) are not evidence of a quotation on their own; whole passages are, of any length.
 MIN_CHARS = 8
 
 
@@ -39,29 +43,52 @@ def without_quotes(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, "\n{3,}", "\n\n"), "^\n+|\n+$", "")
 
 
+def passages(text: Column) -> Column:
+    """(level, lines): a text's passages; a text of n lines takes n steps."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.struct(quote_level(x).alias("level"), normal_line(x).alias("line")))
+    before = F.concat(F.array(F.lit(None).cast("struct<level:int,line:string>")), lines)
+
+    def piece(x, last):
+        goes_on = (x.level == last.level) & (x.line != "") & (last.line != "")
+        return F.when(x.isNull(), "").when(goes_on, F.concat(F.lit("\t"), x.line)).otherwise(F.concat(F.lit("\n"), x.level.cast("string"), F.lit("\t"), x.line))
+
+    runs = F.split(F.array_join(F.zip_with(lines, before, piece), ""), "\n")
+    parts = F.transform(runs, lambda x: F.split(x, "\t"))
+    return F.transform(F.filter(parts, lambda x: F.coalesce(F.get(x, F.lit(1)), F.lit("")) != ""), lambda x: F.struct(x[0].cast("int").alias("level"), F.slice(x, 2, F.size(x) - 1).alias("lines")))
+
+
 def link_quotes(messages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(conv_id, turn, level, line_hash, origin): quoted lines and the turn that first said them, or null.
+    """(conv_id, turn, level, passage_hash, origin, holder): quoted passages, the turn that first said them and the turn they were quoted from, or null.
 
-    One row for each (message, level, line); a line must have been said in an
-    earlier turn. Rows without conv_id or turn take no part.
+    One row for each (message, level, passage). Both turns are earlier ones. The
+    whole passage decides; where nobody had it, its lines do, the latest of
+    their turns. Rows without conv_id or turn take no part.
     """
-    lines = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    lines = lines.select("conv_id", "turn", quote_level(F.col("line")).alias("level"), normal_line(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
-    lines = lines.select("conv_id", "turn", "level", F.md5(F.col("line").cast("binary")).alias("line_hash"))
-    quoted = lines.where("level > 0").distinct()
-    said = lines.where("level = 0").groupBy("conv_id", "line_hash").agg(F.min("turn").alias("origin"))
-    found = quoted.join(said, ["conv_id", "line_hash"], "left")
-    return found.select("conv_id", "turn", "level", "line_hash", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))
+    found = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p"))
+    whole = F.array_join(F.col("p.lines"), " ")
+    digest = lambda x: F.md5(x.cast("binary"))
+    parts = F.transform(F.filter(F.col("p.lines"), lambda x: F.length(x) >= min_chars), lambda x: F.struct(digest(x).alias("piece"), F.lit(False).alias("whole")))
+    pieces = F.concat(F.array(F.struct(digest(whole).alias("piece"), F.lit(True).alias("whole"))), parts)
+    hashed = found.select("conv_id", "turn", F.col("p.level").alias("level"), digest(whole).alias("passage_hash"), pieces.alias("pieces"))
+    rows = hashed.select("conv_id", "turn", "level", "passage_hash", F.explode("pieces").alias("x")).select("conv_id", "turn", "level", "passage_hash", "x.piece", "x.whole")
+    first = rows.groupBy("conv_id", "piece", "level").agg(F.min("turn").alias("first")).groupBy("conv_id", "piece").agg(F.map_from_entries(F.collect_list(F.struct("level", "first"))).alias("firsts"))
+    quoted = rows.where("level > 0").distinct().join(first, ["conv_id", "piece"])
+    earlier = lambda level: F.when(F.col("firsts")[level] < F.col("turn"), F.col("firsts")[level])
+    seen = quoted.select("conv_id", "turn", "level", "passage_hash", "whole", earlier(F.lit(0)).alias("origin"), earlier(F.col("level") - 1).alias("holder"))
+    best = lambda name: F.coalesce(F.max(F.when(F.col("whole"), F.col(name))), F.max(name)).alias(name)
+    return seen.groupBy("conv_id", "turn", "level", "passage_hash").agg(best("origin"), best("holder"))
 
 
 def reply_parents(messages: DataFrame, links: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, n_quoted, n_linked) for each distinct (conv_id, turn).
 
-    Of several originals the one with most level-1 lines is the parent, of
-    equals the latest; without any it is turn - 1 if there is such a message.
+    n_quoted counts all quoted passages, n_linked those with an original. Of
+    several turns quoted from, the parent is the one with most level-1 passages, of equals
+    the one with most of the inner levels, then the latest; without any it is
+    turn - 1 if there is such a message.
     """
-    votes = links.where("level = 1 and origin is not null").groupBy("conv_id", "turn", "origin").agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct("n", "origin")).alias("quoted_turn"))
+    votes = links.where("holder is not null").groupBy("conv_id", "turn", "holder").agg(F.count_if(F.col("level") == 1).alias("n"), F.count("*").alias("all"))
+    chosen = votes.groupBy("conv_id", "turn").agg(F.max_by("holder", F.struct("n", "all", "holder")).alias("quoted_turn"))
     counts = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted"), F.count("origin").alias("n_linked"))
     keys = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     before = keys.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last_turn"))
@@ -108,19 +135,33 @@ def op6_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op6_quotes": op6_quotes}
 SQL = {
     "op6_quotes": f"""
-WITH RECURSIVE l AS (
-  SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS msg FROM conversations
   WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT msg, conv_id, turn, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM m),
 n AS (
-  SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '^[ \\t]*(>[ \\t]*)+'), '[^>]', '', 'g')) AS level,
+  SELECT msg, conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^[ \\t]*(>[ \\t]*)+'), '[^>]', '', 'g')) AS level,
     trim(regexp_replace(lower(regexp_replace(line, '^[ \\t]*(>[ \\t]*)+', '')), '\\s+', ' ', 'g')) AS line FROM l),
-h AS (SELECT conv_id, turn, level, md5(line) AS line_hash FROM n WHERE length(line) >= {MIN_CHARS}),
-said AS (SELECT conv_id, line_hash, min(turn) AS origin FROM h WHERE level = 0 GROUP BY ALL),
+e AS (
+  SELECT *, CASE WHEN line <> '' AND lag(line) OVER w <> '' AND lag(level) OVER w = level THEN 0 ELSE 1 END AS starts FROM n
+  WINDOW w AS (PARTITION BY msg ORDER BY i)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY msg ORDER BY i) AS run FROM e),
+pa AS (
+  SELECT conv_id, turn, level, string_agg(line, ' ' ORDER BY i) AS passage, list(line) AS lines FROM g WHERE line <> ''
+  GROUP BY msg, conv_id, turn, level, run),
+h AS (
+  SELECT conv_id, turn, level, passage, passage AS piece, true AS whole FROM pa
+  UNION SELECT conv_id, turn, level, passage, piece, false FROM (SELECT conv_id, turn, level, passage, unnest(lines) AS piece FROM pa) WHERE length(piece) >= {MIN_CHARS}),
+f AS (SELECT conv_id, piece, level, min(turn) AS first FROM h GROUP BY ALL),
+s AS (
+  SELECT h.conv_id, h.turn, h.level, h.passage, h.whole, CASE WHEN o.first < h.turn THEN o.first END AS origin, CASE WHEN d.first < h.turn THEN d.first END AS holder
+  FROM h LEFT JOIN f o ON o.conv_id = h.conv_id AND o.piece = h.piece AND o.level = 0
+  LEFT JOIN f d ON d.conv_id = h.conv_id AND d.piece = h.piece AND d.level = h.level - 1 WHERE h.level > 0),
 q AS (
-  SELECT d.conv_id, d.turn, d.level, d.line_hash, CASE WHEN s.origin < d.turn THEN s.origin END AS origin
-  FROM (SELECT DISTINCT * FROM h WHERE level > 0) d LEFT JOIN said s USING (conv_id, line_hash)),
-v AS (SELECT conv_id, turn, origin, count(*) AS n FROM q WHERE level = 1 AND origin IS NOT NULL GROUP BY ALL),
-c AS (SELECT conv_id, turn, max({{'n': n, 'o': origin}}).o AS quoted_turn FROM v GROUP BY ALL),
+  SELECT conv_id, turn, level, passage, coalesce(max(origin) FILTER (whole), max(origin)) AS origin, coalesce(max(holder) FILTER (whole), max(holder)) AS holder
+  FROM s GROUP BY ALL),
+v AS (SELECT conv_id, turn, holder, count(*) FILTER (level = 1) AS n, count(*) AS a FROM q WHERE holder IS NOT NULL GROUP BY ALL),
+c AS (SELECT conv_id, turn, max({{'n': n, 'a': a, 'o': holder}}).o AS quoted_turn FROM v GROUP BY ALL),
 k AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 p AS (
   SELECT k.conv_id, k.turn, coalesce(c.quoted_turn, b.turn) AS parent_turn, coalesce(t.n_quoted, 0) AS n_quoted, coalesce(t.n_linked, 0) AS n_linked

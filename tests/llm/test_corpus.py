@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -573,6 +574,40 @@ def test_op6(spark):
     assert op6_quotes.conversations_in_reply_order(spark.createDataFrame([], MESSAGE)).count() == 0
 
 
+def test_op6_rewrapped_passages_and_inner_levels(spark):
+    said = "A paragraph that one\nwriter wrapped here,\nand ends.\n\nYes."
+    rows = [
+        (1, 0, "user", said), (1, 1, "user", "Something else entirely, said in between."),
+        (1, 2, "user", "> A paragraph that one writer\n> wrapped here, and   ENDS.\nMy reply."),
+        (1, 4, "user", ">> a paragraph that one writer wrapped here, and ends.\n> never said in these words\nA reply to the reply."),
+        (1, 6, "user", "> yes.\n>\n> Yes.\nShort ones count."),
+    ]
+    got = {r["turn"]: r for r in op6_quotes.conversations_in_reply_order(spark.createDataFrame(rows, MESSAGE)).collect()}
+    assert {k: (r["parent_turn"], r["n_quoted"], r["n_linked"]) for k, r in got.items()} == {0: (None, 0, 0), 1: (0, 0, 0), 2: (0, 1, 1), 4: (2, 2, 1), 6: (0, 1, 1)}
+
+
+def test_op6_long_texts_and_clashing_names(spark):
+    text = "\n".join(f"> line {k} of a long quotation" for k in range(100_000))
+    plain = text.replace("> ", "")
+    rows = [(1, 0, "user", plain, "x", 1), (1, 5, "user", text, "y", 2)]
+    got = op6_quotes.conversations_in_reply_order(spark.createDataFrame(rows, MESSAGE + ", level string, piece long")).where("turn = 5").first()
+    assert (got["parent_turn"], got["n_quoted"], got["n_linked"], got["clean_text"]) == (0, 1, 1, "")
+
+
+def test_op6_against_its_sql_on_random_quotations(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    words = ["alpha beta gamma", "Delta epsilon", "ok", "a longer line of words", ""]
+    rows = [(int(draw.integers(3)), int(draw.integers(12)), "user", "\n".join("> " * int(draw.integers(4)) + words[int(draw.integers(5))] for _ in range(int(draw.integers(1, 7))))) for _ in range(60)]
+    rows += [(None, 1, "user", "> ok"), (1, None, "user", None), (2, 30, "user", None)]
+    folder = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, MESSAGE).coalesce(1).write.parquet(folder)
+    got = [tuple(r) for r in op6_quotes.op6_quotes(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view conversations as from '{folder}/*.parquet'")
+    want = con.execute(op6_quotes.SQL["op6_quotes"]).fetchall()
+    assert Counter(got) == Counter(want) and sum(r[8] or 0 for r in got) > 20
+
+
 def test_op6_long_threads(spark):
     rows = [(1, k, "user", f"message number {k}") for k in range(100)]
     got = op6_quotes.conversations_in_reply_order(spark.createDataFrame(rows, MESSAGE)).agg(F.max("depth"), F.max("root_turn")).first()
