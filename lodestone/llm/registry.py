@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("op1_decontaminate", "op2_substrings", "op3_quality", "op4_revisit", "op5_licence", "op6_quotes", "op7_mixing", "op8_langid", "op9_mixing", "op10_simhash", "op11_merkle")
+MODULES = ("op1_decontaminate", "op2_substrings", "op3_quality", "op4_revisit", "op5_licence", "op6_quotes", "op7_mixing", "op8_langid", "op9_mixing", "op10_simhash", "op11_merkle", "op12_urls", "op13_infill")
 
 
 def queries() -> dict:
