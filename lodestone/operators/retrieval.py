@@ -16,6 +16,7 @@ from ..adapters import CONCEPT_SQL, EDGE_SQL, EMBEDDING_SQL, NODE_SQL, concepts,
 from ..functions.text import ACCENTED, PLAIN, TITLE_STOP, citations, fold_tokens, markdown_links, matched_fields, title_boost, type_weight
 from ..plans.registry import Registry
 from .relational import latest_per_key, ranked, shared_term_peers
+from .search import _TOK, hash_vectors_sql, lexical_hits, lexical_sql, tokens, words_sql
 
 registry = Registry()
 query = registry
@@ -44,37 +45,10 @@ ADJACENT = {"ApiEndpoint": ("PacsMessage", "CamtMessage", "Reference", "ManualSe
 # -- arms ------------------------------------------------------------------
 
 
-def tokens(*columns: Column) -> Column:
-    """Lower-cased words of the columns: runs of letters and digits of any script."""
-    text = F.lower(F.concat_ws(" ", *columns))
-    return F.filter(F.split(text, "[^\\p{L}\\p{Nd}]+"), lambda w: w != "")
-
-
-def terms_of(question: str) -> list[str]:
-    import re
-
-    return list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", question.lower()) if w not in TITLE_STOP))
-
-
 def lexical(df: DataFrame, question: str, limit: int = 20) -> DataFrame:
-    """(id, type, title, score, rank): rows that have all of the question's words, best first.
-
-    The score is the words' weighted frequency (title 1, intent 0.4, body 0.1)
-    over 1 + ln(words in the row). A contains() of each word comes first: it is
-    cheap, and only survivors are split into words.
-    """
-    asked = terms_of(question)
-    if not asked:
-        return df.select("id", "type", "title", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    text = F.lower(F.concat_ws(" ", "title", "intent_terms", "body"))
-    rows = df.where(reduce(lambda a, b: a & b, [F.contains(text, F.lit(t)) for t in asked]))
-    rows = rows.select("id", "type", "title", tokens(F.col("title")).alias("_a"), tokens(F.col("intent_terms")).alias("_b"), tokens(F.col("body")).alias("_d"))
-    every = F.concat("_a", "_b", "_d")
-    rows = rows.where(reduce(lambda a, b: a & b, [F.array_contains(every, t) for t in asked]))
-    count = lambda c, t: F.size(F.filter(c, lambda w: w == t))
-    weight = sum((count("_a", t) * 1.0 + count("_b", t) * 0.4 + count("_d", t) * 0.1 for t in asked), F.lit(0.0))
-    rows = rows.select("id", "type", "title", F.round(weight / (1 + F.log(F.size(every))), 9).alias("score"))
-    return ranked(rows, limit, F.desc("score"), F.col("id"))
+    """(id, type, title, score, rank): rows that the question finds, best first, ranked by cover density."""
+    found = lexical_hits(df, question, limit)
+    return df.select("id", "type", "title").join(F.broadcast(found), "id").select("id", "type", "title", "score", "rank")  # at most the limit
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -93,26 +67,51 @@ def vector(latest: DataFrame, asked: list[float], limit: int = 20, least: float
     return out if least is None else ranked(out.drop("rank").where((F.col("score") >= least) | F.isnan("score")), limit, F.desc("score"), F.col("id"))
 
 
+def hash_rows(texts: list[str], dim: int = 256) -> np.ndarray:
+    """For each text the counts of its lower-cased character trigrams, hashed by FNV-1a (32 bit) modulo ``dim``, at unit length.
+
+    All trigrams of a text are hashed at once, byte by byte of their UTF-8.
+    """
+    out = np.zeros((len(texts), dim), np.float32)
+    for row, text in zip(out, texts, strict=True):
+        low = text.lower()
+        point = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(point) < 3:
+            continue
+        if low.isascii():
+            bytes_of = [(point, None)]
+        else:
+            size = 1 + (point > 0x7F).astype(int) + (point > 0x7FF) + (point > 0xFFFF)
+            lead = np.choose(size - 1, [point, 0xC0 | point >> 6, 0xE0 | point >> 12, 0xF0 | point >> 18])
+            bytes_of = [(lead, None)] + [(0x80 | point >> (6 * np.maximum(size - 1 - k, 0)).astype(np.uint32) & 0x3F, size > k) for k in (1, 2, 3)]
+        n = len(point) - 2
+        h = np.full(n, 2166136261, np.uint32)
+        for k in range(3):
+            for value, has in bytes_of:
+                grown = (h ^ value[k : k + n].astype(np.uint32)) * np.uint32(16777619)
+                h = grown if has is None else np.where(has[k : k + n], grown, h)
+        row += np.bincount(h % dim, minlength=dim)
+        row /= np.float32(np.sqrt((row.astype(np.float64) ** 2).sum()))
+    return out
+
+
 def hash_vector(text: str, dim: int = 256) -> np.ndarray:
-    """Counts of lower-cased character trigrams, hashed by FNV-1a (32 bit) modulo ``dim``, at unit length."""
-    out = np.zeros(dim, np.float32)
-    low = text.lower()
-    for k in range(len(low) - 2):
-        h = 2166136261
-        for byte in low[k : k + 3].encode():
-            h = (h ^ byte) * 16777619 & 0xFFFFFFFF
-        out[h % dim] += 1
-    norm = float(np.sqrt((out.astype(np.float64) ** 2).sum()))
-    return out / np.float32(norm) if norm else out
+    return hash_rows([text], dim)[0]
 
 
-def embed(df: DataFrame, text: Column, dim: int = 256) -> DataFrame:
-    """``df`` with the hashed trigram vector of a text column, made in Arrow batches."""
+def hash_vectors(text: Column, dim: int = 256) -> Column:
+    """Hashed trigram vectors of a text column, made in Arrow batches; null is as an empty text, whose vector is zero."""
+
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: hash_vector(t, dim))
+        return pd.Series(list(hash_rows(texts.fillna("").tolist(), dim)), dtype=object)
 
-    return df.withColumn("vec", run(text)).withColumn("dim", F.lit(dim))
+    return run(text)
+
+
+def embed(df: DataFrame, text: Column, dim: int = 256) -> DataFrame:
+    """``df`` with the hashed trigram vector of a text column."""
+    return df.withColumn("vec", hash_vectors(text, dim)).withColumn("dim", F.lit(dim))
 
 
 # -- fusion ----------------------------------------------------------------
@@ -174,11 +173,6 @@ def multi(lists: list[tuple[str, DataFrame]], limit: int = 20) -> DataFrame:
     return ranked(out, limit, F.desc("score"), F.col("first_seen.sub_no"), F.col("first_seen.rank"), F.col("id")).drop("first_seen")
 
 
-def multi_hybrid(df: DataFrame, latest: DataFrame, question: str, vector_of, limit: int = 20) -> DataFrame:
-    """Hybrid search of each expansion, at 20 hits and more, fused."""
-    return multi([(q, hybrid(df, latest, q, list(vector_of(q)), max(limit, 20))) for q in expand_question(question)], limit)
-
-
 def similar(signals: dict[str, DataFrame], seed: str, seed_type: str, types: DataFrame, limit: int = 10) -> DataFrame:
     """(id, score, why, rank): signals (id, rank) of a seed fused from rank 1, the seed left out; why names the signals."""
     names = list(signals)
@@ -263,17 +257,6 @@ def cross_link(df: DataFrame, terms: DataFrame, cap: int = 25, top: int = 6) ->
 # -- queries ---------------------------------------------------------------
 _COS = "list_cosine_similarity(vec::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
 _LATEST = f"{EMBEDDING_SQL}, latest AS (SELECT id, vec FROM emb WHERE epoch = 2)"
-_ASKED = "the of"
-_TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{Nd}}]+'), lambda w: w <> '')"
-
-
-def _lexical_sql(words, limit, name="lex"):
-    every = "list_concat(list_concat(a, b), d)"
-    weight = " + ".join(f"len(list_filter(a, lambda w: w = '{t}')) * 1.0::DOUBLE + len(list_filter(b, lambda w: w = '{t}')) * 0.4::DOUBLE + len(list_filter(d, lambda w: w = '{t}')) * 0.1::DOUBLE" for t in words)
-    return f"""{name}_t AS (SELECT id, type, title, {_TOK.format('title')} AS a, {_TOK.format('intent_terms')} AS b, {_TOK.format('body')} AS d FROM concept),
-{name} AS (SELECT id, type, title, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, type, title, round(({weight}) / (1 + ln(len({every}))), 9) AS score FROM {name}_t WHERE {' AND '.join(f"list_contains({every}, '{t}')" for t in words)}) QUALIFY rank <= {limit})"""
-
-
 def latest_vectors(spark, d) -> DataFrame:
     return latest_per_key(embeddings(spark, d).select("id", "epoch", "vec"), "id", "epoch")
 
@@ -289,7 +272,7 @@ def r01(spark, d):
     return rows.where(reduce(lambda a, b: a & b, [F.array_contains("t", w) for w in words])).select("id")
 
 
-@query("R02_lexical_rank", f"WITH {CONCEPT_SQL}, {_lexical_sql(['that', 'from'], 20)} SELECT id, score, rank FROM lex")
+@query("R02_lexical_rank", f"WITH {CONCEPT_SQL}, {words_sql()}, {lexical_sql(['that', 'from'], 20)} SELECT id, score, rank FROM lex")
 def r02(spark, d):
     return lexical(concepts(spark, d), "that from").select("id", "score", "rank")
 
@@ -309,14 +292,14 @@ def p25(spark, d):
     return vector(latest_vectors(spark, d), _first_vector(spark, d), least=0.5)
 
 
-@query("P19_filter_before_rank", f"WITH {CONCEPT_SQL}, c AS (SELECT * FROM concept WHERE type = 'Reference' AND list_contains(tags, 'domain:en')), {_lexical_sql(['was', 'with'], 10).replace('FROM concept', 'FROM c')} SELECT id, rank FROM lex")
+@query("P19_filter_before_rank", f"WITH {CONCEPT_SQL}, c AS (SELECT * FROM concept WHERE type = 'Reference' AND list_contains(tags, 'domain:en')), {words_sql('c')}, {lexical_sql(['was', 'with'], 10)} SELECT id, rank FROM lex")
 def p19(spark, d):
     from ..plans.filterql import parse, predicate
 
     return lexical(concepts(spark, d).where(predicate(parse("type = Reference AND domain = en").where)), "was with", 10).select("id", "rank")
 
 
-_HYBRID_SQL = f"""WITH {CONCEPT_SQL}, {_LATEST}, {_lexical_sql(['that', 'from'], 20)},
+_HYBRID_SQL = f"""WITH {CONCEPT_SQL}, {_LATEST}, {words_sql()}, {lexical_sql(['that', 'from'], 20)},
 near AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, score FROM (SELECT id, round({_COS}, 6) AS score FROM latest) QUALIFY rank <= 20),
 arms AS (SELECT id, 0 AS arm, rank FROM lex UNION ALL SELECT id, 1, rank FROM near WHERE score >= 0.05),
 f AS (SELECT id, sum(1.0::DOUBLE / (60 + rank - 1)) AS rrf, min({{'a': arm, 'r': rank}}) AS first_seen, count(*) AS n, min(arm) AS arm FROM arms GROUP BY id),
@@ -341,20 +324,6 @@ def r07(spark, d):
     return hybrid(concepts(spark, d), latest_vectors(spark, d), "that from", _first_vector(spark, d)).select("id", "arm")
 
 
-@query("R08_expand_question", "SELECT * FROM (VALUES (0, 'Como notificar por webhook a API?'), (1, 'como notificar webhook api'), (2, 'webhook notificação pix'), (3, 'endpoint API')) t(n, subquery)")
-def r08(spark, d):
-    return spark.createDataFrame(list(enumerate(expand_question("Como notificar por webhook a API?"))), "n int, subquery string")
-
-
-@query("R10_multi_query", f"""WITH {CONCEPT_SQL}, {_lexical_sql(['was', 'with'], 20, 'l0')}, {_lexical_sql(['that', 'from'], 20, 'l1')},
-a AS (SELECT id, 0 AS sub_no, rank FROM l0 UNION ALL SELECT id, 1, rank FROM l1)
-SELECT id, round(sum(1.0::DOUBLE / (5 + rank)), 9) AS score, count(*) AS found FROM a GROUP BY id ORDER BY sum(1.0::DOUBLE / (5 + rank)) DESC, min({{'s': sub_no, 'r': rank}}), id LIMIT 20""")
-def r10(spark, d):
-    c = concepts(spark, d)
-    lists = [(q, lexical(c, q).withColumn("arm", F.lit("fts"))) for q in ("was with", "that from")]
-    return multi(lists).select("id", F.round("score", 9).alias("score"), F.size("provenance").cast("long").alias("found"))
-
-
 @query("A08_reciprocal_rank_fusion", "WITH a AS (SELECT s_suppkey AS id, 0 AS arm, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier UNION ALL SELECT s_suppkey, 1, row_number() OVER (ORDER BY s_name DESC, s_suppkey) FROM supplier) SELECT id, round(sum(1.0::DOUBLE / (60 + rank - 1)), 12) AS score FROM a WHERE rank <= 50 GROUP BY id")
 def a08(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal", "s_name")
@@ -423,13 +392,7 @@ def g07(spark, d):
     return neighbours(edges(spark, d), nodes(spark, d), seeds).where("direction = 'out'").select("seed", "id").distinct()
 
 
-@query("R11_similar_hybrid", None)
-def r11(spark, d):
-    signals = {"semantic": vector(latest_vectors(spark, d), _first_vector(spark, d), 11), "lexical": lexical(concepts(spark, d), "that from", 11)}
-    return similar(signals, "doc/00000000.md", "ManualSection", concepts(spark, d)).select("id", F.round("score", 9).alias("score"), "why", "rank")
-
-
-@query("F05_hash_embedding", None)
+@query("F05_hash_embedding", f"WITH {CONCEPT_SQL}, t AS (SELECT id AS q, concat_ws(' ', title, intent_terms, body) AS question FROM concept), {hash_vectors_sql('t', 256, 'v')} SELECT q AS id, 256::INTEGER AS dim, vec FROM v")
 def f05(spark, d):
     return embed(concepts(spark, d), F.concat_ws(" ", "title", "intent_terms", "body")).select("id", "dim", "vec")
 
