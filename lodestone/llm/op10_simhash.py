@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,14 +44,20 @@ def fingerprint_of(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp) for each row; a null or wordless text has fingerprint 0."""
+    """(id, h, fp) for each row, h a 64-bit hash of the text; a null or wordless text has fingerprint 0."""
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in texts], pa.int64())], ["id", "fp"])
+            texts = batch.column(2).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in texts], pa.int64())], ["id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, h long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    """What tells the texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -79,18 +85,23 @@ def link_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """One row (id, fp, component) for each row of ``docs``.
-
-    component is the smallest id reachable over links, itself included. Null
-    text counts as empty (fingerprint 0, linked like any other). Rows with a null id keep their fingerprint; their component
-    is that of the fingerprint (null if no other row has an id). Repeated rows give repeated results; ties cannot occur; an empty table
-    gives an empty result. Other columns are not read.
+    """One row (id, h, fp, root, component) for each row of ``docs``.
+
+    Links are between fingerprints, so rows that share an id and differ stand on
+    their own: root is one fingerprint of the linked ones, component the smallest id of all
+    of them, itself included, and h a hash of the text. Ids may be of any type that has an order. Null text
+    counts as empty (fingerprint 0, linked like any other). Rows with a null id have
+    the component of their fingerprint too (null if no other row there has an id). Repeated rows give
+    repeated results; ties cannot occur; texts of any length are read whole; an empty table gives an empty
+    result. Other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     reps = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    groups = connected_components(link_fingerprints(reps.where("rep is not null"), radius), "src", "dst")
-    classes = cut(reps.join(groups, reps.rep == groups.node, "left").select("fp", F.coalesce("component", "rep").alias("component")))
-    return prints.join(classes, "fp").select("id", "fp", "component")
+    groups = connected_components(link_fingerprints(reps.select("fp", F.col("fp").alias("rep")), radius), "src", "dst")
+    classes = cut(reps.join(groups, reps.fp == groups.node, "left").select("fp", "rep", F.coalesce(groups.component, reps.fp).alias("root")))
+    least = cut(classes.groupBy("root").agg(F.min("rep").alias("component")))
+    classes = cut(classes.join(least, "root").select("fp", "root", "component"))
+    return prints.join(classes, "fp").select("id", "h", "fp", "root", "component")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

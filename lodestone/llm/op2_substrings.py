@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import cut, read, release
+from .session import cut, fresh_name, read, release
 from .textkit import U64, Slab, chained, mix, slabs
 
 RADIUS = 4
@@ -387,8 +387,12 @@ def _joined(spans: DataFrame) -> DataFrame:
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans' words cut out of their texts; all columns and rows stay."""
-    joined = docs.join(spans.select(F.col("id").alias("_id"), F.col("spans").alias("_spans")), docs[id_col].cast("long") == F.col("_id"), "left").select(*docs.columns, "_spans")
+    """``docs`` with the spans' words cut out of their texts; all columns and rows stay.
+
+    ``id_col`` tells texts apart: rows that share an id must be given keys of their own. What lies beyond a text's end is left out.
+    """
+    key, marked = fresh_name("id", docs), fresh_name("spans", docs)
+    joined = docs.join(spans.select(F.col("id").alias(key), F.col("spans").alias(marked)), docs[id_col].cast("long") == F.col(key), "left").select(*docs.columns, marked)
     where = docs.columns.index(text_col)
 
     def run(batches):
@@ -402,6 +406,8 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
                     begin, _, _ = slab.words()
                     keep, at = [], 0
                     for s in marks[int(k)].as_py():
+                        if s["b"] >= len(begin):
+                            break
                         keep.append(slab.data[at : begin[s["b"]]].tobytes())
                         at = begin[s["e"]] if s["e"] < len(begin) else len(slab.data)
                     out[k] = b"".join([*keep, slab.data[at:].tobytes()]).decode("utf-8", "replace")

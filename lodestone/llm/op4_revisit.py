@@ -24,9 +24,11 @@ PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expire
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-cased, without scheme, leading www. or m., fragment, tracking parameters, and a trailing slash."""
-    out = F.regexp_replace(F.lower(F.trim(url)), "#.*$", "")
-    out = F.regexp_replace(out, "^https?://(www\\.|m\\.)?", "")
+    """Host lower-cased; without scheme, leading www. or m., fragment, tracking parameters, and a trailing slash. Paths and queries keep their case."""
+    out = F.regexp_replace(F.trim(url), "#.*$", "")
+    out = F.regexp_replace(out, "^(?i)https?://(www\\.|m\\.)?", "")
+    host = F.regexp_extract(out, "^[^/?]*", 0)
+    out = F.concat(F.lower(host), F.substr(out, F.length(host) + 1))
     out = F.regexp_replace(out, f"([?&])(({TRACKING})=[^&]*&?)+", "$1")
     return F.regexp_replace(F.regexp_replace(out, "[?&]+$", ""), "/$", "")
 
@@ -105,9 +107,9 @@ SQL = {
     "op4_revisit": f"""
 WITH p AS (
   SELECT page_id, sha1(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS size,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''),
-      '^https?://(www\\.|m\\.)?', ''), '([?&])(({TRACKING})=[^&]*&?)+', '\\1', 'g'), '[?&]+$', ''), '/$', '') AS canonical_url
-  FROM pages),
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')) || substr(bare, length(regexp_extract(bare, '^[^/?]*')) + 1),
+      '([?&])(({TRACKING})=[^&]*&?)+', '\\1', 'g'), '[?&]+$', ''), '/$', '') AS canonical_url
+  FROM (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i)https?://(www\\.|m\\.)?', '') AS bare FROM pages)),
 r AS (
   SELECT page_id, canonical_url, page_id * 10 AS ts, 1 AS is_full, '"' || substr(digest, 1, 16) || '"' AS etag,
     'day ' || (page_id % 1000) AS last_modified, digest, size

@@ -20,6 +20,8 @@ from .session import cut, read
 
 #: Part of the entropy of even weights to reach, and the most passes over a source.
 ENTROPY_SHARE = 0.95
+#: What the query aims at: more than the given tables' sources have of themselves, so that the power is found by bisection.
+QUERY_ENTROPY = 0.999
 #: Powers are sought up to here.
 MAX_POWER = 8.0
 MAX_REPEATS = 4.0
@@ -133,7 +135,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"), entropy_share=QUERY_ENTROPY)
 
 
 QUERIES = {"op7_mixing": op7_mixing}

@@ -52,3 +52,12 @@ def fold_of(column: str, folds: int):
 
 def crc_fold(value, folds: int) -> int:
     return zlib.crc32(str(value).encode()) % folds
+
+
+def fresh_name(base: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    name = f"_{base}"
+    while name in taken:
+        name = "_" + name
+    return name
