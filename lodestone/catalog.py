@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("operators.structured", "operators.relational", "operators.temporal", "operators.retrieval", "operators.search_queries", "operators.quality", "operators.answers", "functions.queries", "sources.queries")
+MODULES: tuple[str, ...] = ("operators.structured", "operators.relational", "operators.temporal", "operators.retrieval", "operators.search_queries", "operators.quality", "operators.store", "operators.answers", "functions.queries", "sources.queries")
 
 
 def _gather(name: str) -> dict:

@@ -18,13 +18,24 @@ FIELDS = T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.Struct
 GUI, CATEGORY, CURRENCY, COUNTRY = "br.gov.bcb.pix", "0000", "986", "BR"
 
 
+def _remainders() -> list[int]:
+    """What each byte leaves on division by the polynomial 0x1021."""
+    out = []
+    for crc in range(0, 1 << 16, 1 << 8):
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
+        out.append(crc)
+    return out
+
+
+REMAINDERS = _remainders()
+
+
 def crc16(data: bytes) -> int:
-    """CRC-16 with polynomial 0x1021 and start 0xFFFF."""
+    """CRC-16 with polynomial 0x1021 and start 0xFFFF, byte by byte."""
     crc = 0xFFFF
     for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
+        crc = (crc << 8 & 0xFFFF) ^ REMAINDERS[crc >> 8 ^ byte]
     return crc
 
 

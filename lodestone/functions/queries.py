@@ -46,7 +46,8 @@ _pages("F23_simple_html_text", lambda: {"sha": F.md5(X.simple_html_text(_t("html
 _HTML = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)<(br|/p|/div|/li|/h[1-6]|/tr)[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g')"
 for _e, _c in X.ENTITIES:
     _HTML = f"replace({_HTML}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
-_pages("F21_html_text", lambda: {"sha": F.md5(X.html_text(_t("html")).cast("binary"))}, f"md5(trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{2,}}', chr(10), 'g'))) AS sha")
+TEXT_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{2,}}', chr(10), 'g'))"
+_pages("F21_html_text", lambda: {"sha": F.md5(X.html_text(_t("html")).cast("binary"))}, f"md5({TEXT_SQL}) AS sha")
 _URL = """regexp_replace(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?]*)', 1)), ':(80|443)$', '') || regexp_replace(split_part(substr(u, length(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?]*)', 1)) + 1), '?', 1), '/$', '')
   || CASE WHEN contains(u, '?') AND split_part(u, '?', 2) <> '' THEN '?' || array_to_string(list_sort(string_split(split_part(u, '?', 2), '&')), '&') ELSE '' END"""
 registry.add("F25_normal_url", lambda spark, d: table(spark, d, "pages").select("page_id", X.normal_url(F.col("url")).alias("url")), f"SELECT page_id, {_URL} AS url FROM (SELECT page_id, split_part(trim(url), '#', 1) AS u FROM pages)")
@@ -58,9 +59,12 @@ def s35(spark, d):
     return table(spark, d, "pages").select(X.url_hash(X.normal_url(F.col("url"))).alias("hash")).dropDuplicates(["hash"])
 
 
+#: Small tables with the values expected of them, for the tests: what the queries below do not reach.
+LITERALS: dict = {}
+
+
 def _values(name, rows, columns, make, sql):
-    """A query on a literal table; its SQL has the expected values."""
-    registry.add(name, lambda spark, d: make(spark.createDataFrame(rows, columns)), sql)
+    LITERALS[name] = (lambda spark: make(spark.createDataFrame(rows, columns)), sql)
 
 
 _values("F08_markdown_links", [("see [a](x/a.md), [b](./x/../b.md#t), [a](x/a.md), [c](http://h/c.md), [d](d.txt)",)], "body string", lambda t: t.select(F.explode(X.markdown_links(F.col("body"))).alias("target")), "SELECT unnest(['x/a.md', 'b.md']) AS target")
@@ -90,4 +94,101 @@ def _payload(t):
 _values("F34_payload_validate", _PAYLOADS, _PAY, lambda t: t.select(codec.invalid_reason(_payload(t)).alias("reason")), "SELECT unnest([NULL, 'a key or a url is required', 'key and url exclude each other', 'merchant_name exceeds 25 bytes', 'amount is not a decimal with up to two places', 'merchant_name has other characters than printable ASCII']) AS reason")
 _values("F35_payload_encode", _PAYLOADS[:1], _PAY, lambda t: t.select(F.substring(codec.encode(_payload(t)), 1, 10).alias("head")), "SELECT '0002010102' AS head")
 _values("F33_parse_round_trip", _PAYLOADS[:1], _PAY, lambda t: t.select(codec.parse(codec.encode(_payload(t))).alias("p")).select("p.key", "p.merchant_name", "p.city", "p.amount", "p.txid", "p.dynamic", "p.crc_valid"), "SELECT 'fulano@example.com' AS key, 'ACME LTDA' AS merchant_name, 'SAO PAULO' AS city, '10.00' AS amount, 'PEDIDO123' AS txid, false AS dynamic, true AS crc_valid")
+
+# -- the same on the given rows ------------------------------------------------
+_k = "substr(id, 5, 8)::BIGINT"
+
+
+def _K():
+    """The number in a row's id."""
+    return F.substring("id", 5, 8).cast("long")
+
+
+_two = lambda: F.substring("content_sha", 1, 2)
+
+
+def _text(*parts):
+    """Texts (as they are) and columns, one after the other."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _rows(name, source, columns, sql):
+    registry.add(name, lambda spark, d: table(spark, d, source).select(*[c.alias(n) for n, c in columns().items()]), sql)
+
+
+_c = F.col
+_concept("F08_markdown_links", lambda: {"targets": F.array_join(X.markdown_links(_text("see [a](", _c("source_uri"), "/", _two(), ".md), [b](./x/../", _c("language"), ".md#t), [a](", _c("source_uri"), "/", _two(), ".md), [c](http://h/c.md), [d](d.txt)")), ",")}, "source_uri || '/' || left(content_sha, 2) || '.md,' || language || '.md' AS targets")
+_concept("F09_normal_path", lambda: {"normal": X.normal_path(_text("./", _c("source_uri"), "/../", _c("language"), "//a\\b\\..\\", _two(), ".md"))}, "language || '/a/' || left(content_sha, 2) || '.md' AS normal")
+_concept("F10_sibling_links", lambda: {"targets": F.array_join(X.resolve_links(_c("id"), F.array(_text(_two(), ".md"), _text(_c("language"), "/c.md"))), ",")}, "'doc/' || left(content_sha, 2) || '.md,' || language || '/c.md' AS targets")
+
+
+def _citing():
+    dated = ("Resolução BCB nº ", _K(), ", de 12 de agosto de ", 2000 + _K() % 25)
+    return _text("A ", *dated, ", a Circular nº 3.", F.lpad((_K() % 1000).cast("string"), 3, "0"), " e a Carta Circular nº 4.006; Resolução CMN n° 4.893; ", *dated, ".")
+
+
+_concept("F11_citations", lambda: {"refs": F.array_join(X.citations(_citing()), " ")}, f"'RES-BCB-' || {_k} || '-' || (2000 + {_k} % 25) || ' CIR-3' || lpad(({_k} % 1000)::VARCHAR, 3, '0') || ' CC-4006 RES-CMN-4893' AS refs")
+_concept("F12_base_reference", lambda: {"base": X.base_reference(F.when(_K() % 2 == 0, _text("RES-BCB-", _K(), "-2020")).otherwise(_text("CIR-", _K())))}, f"CASE WHEN {_k} % 2 = 0 THEN 'RES-BCB-' ELSE 'CIR-' END || {_k} AS base")
+_LINE = "trim(split_part(regexp_replace(body, '^\\s+|\\s+$', '', 'g'), chr(10), 1))"
+_concept("F14_first_line", lambda: {"line": X.first_line(_c("body"))}, f"CASE WHEN strlen({_LINE}) <= 200 THEN {_LINE} ELSE (SELECT max(left({_LINE}, n)) FROM (SELECT unnest(range(50, 201)) AS n) WHERE strlen(left({_LINE}, n)) <= 200) END AS line")
+_concept("F15_article_number", lambda: {"n": X.article_number(_text(_K() % 500, F.when(_K() % 3 == 0, "º").when(_K() % 3 == 1, "-A").otherwise("")))}, f"lpad(({_k} % 500)::VARCHAR, 4, '0') || CASE WHEN {_k} % 3 = 1 THEN '-a' ELSE '' END AS n")
+_concept("F19_path_root", lambda: {"root": X.path_root(F.when(_K() % 3 == 0, "GET").otherwise(_text("POST /X", _c("language"), _K() % 7, "/{id}")))}, f"CASE WHEN {_k} % 3 = 0 THEN '' ELSE 'x' || language || ({_k} % 7) END AS root")
+_concept("F20_salient_terms", lambda: {"terms": F.array_join(X.salient_terms(F.when(_K() % 2 == 1, "POST /cob").otherwise("title"), F.when(_K() % 3 == 0, "Cobrança via Pix").otherwise("nada"), _c("tags"), _c("type")), ",")}, f"array_to_string(list_filter([CASE WHEN {_k} % 2 = 1 THEN 'cob' END, CASE WHEN {_k} % 3 = 0 THEN 'cobranca' END, CASE WHEN {_k} % 3 = 0 THEN 'pix' END, CASE WHEN {_k} % 2 = 1 AND type = 'ApiEndpoint' THEN 'path:cob' END], lambda x: x IS NOT NULL), ',') AS terms")
+_CRC = "list_reduce(list_transform(range(0, strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::INTEGER, 2))::UBIGINT), lambda c, b: list_reduce(range(8)::UBIGINT[], lambda y, i: CASE WHEN y & 32768 > 0 THEN xor(y << 1, 4129) & 65535 ELSE (y << 1) & 65535 END, xor(c, b << 8)), 65535::UBIGINT)"
+_concept("F36_crc16", lambda: {"crc": codec.checksum("title")}, f"printf('%04X', {_CRC.format('title')}::BIGINT) AS crc")
+_concept("F32_tlv_fields", lambda: {"ids": F.array_join(codec.fields(_text("0002", "01", "59", F.lpad(F.octet_length("language").cast("string"), 2, "0"), _c("language"), F.when(_K() % 4 == 0, "6005ab").otherwise("")))["id"], ",")}, f"CASE WHEN {_k} % 4 <> 0 THEN '00,59' END AS ids")
+_rows("F28_valid_ispb", "customer", lambda: {"c_custkey": _c("c_custkey"), "ok": X.valid_ispb(F.when(_c("c_custkey") % 3 == 0, F.lpad(_c("c_custkey").cast("string"), 8, "0")).otherwise(_c("c_custkey").cast("string")))}, "SELECT c_custkey, c_custkey % 3 = 0 OR c_custkey >= 10000000 AS ok FROM customer")
+_DIGITS = "list_transform(range(1, 15), lambda i: substr(c, i::INTEGER, 1)::INTEGER)"
+
+
+def _check_sql(weights):
+    total = "list_sum(list_transform(list_zip(" + f"d[1:{len(weights)}], {list(weights)}), lambda x: x[1] * x[2]))"
+    return f"(CASE WHEN {total} % 11 < 2 THEN 0 ELSE 11 - {total} % 11 END)"
+
+
+_rows("F30_valid_cnpj", "customer", lambda: {"c_custkey": _c("c_custkey"), "ok": X.valid_cnpj(F.lpad((_c("c_custkey") * 7919 + 81).cast("string"), 14, "0"))}, f"WITH a AS (SELECT c_custkey, lpad((c_custkey * 7919 + 81)::VARCHAR, 14, '0') AS c FROM customer), b AS (SELECT *, {_DIGITS} AS d FROM a) SELECT c_custkey, d[13] = {_check_sql((5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2))} AND d[14] = {_check_sql((6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2))} AND len(list_distinct(d)) > 1 AS ok FROM b")
+_rows("F31_valid_series_point", "events", lambda: {"event_id": _c("event_id"), "ok": X.valid_series_point(F.when(_c("event_id") % 5 == 0, _c("event_type")).otherwise(_c("user_id").cast("string")), F.when(_c("event_id") % 3 == 0, F.translate(F.format_string("%.2f", "value"), ".", ",")).otherwise(F.format_string("%.2f", "value")))}, "SELECT event_id, event_id % 5 <> 0 AND event_id % 3 <> 0 AS ok FROM events")
+_rows("F37_valid_amount", "customer", lambda: {"c_custkey": _c("c_custkey"), "ok": X.valid_amount(F.when(_c("c_custkey") % 4 == 0, F.format_string("%.3f", "c_acctbal")).otherwise(F.format_string("%.2f", "c_acctbal")))}, "SELECT c_custkey, c_custkey % 4 <> 0 AND NOT starts_with(printf('%.2f', c_acctbal), '-') AS ok FROM customer")
+
+
+def _payloads(spark, d):
+    """A payload of each supplier, some of them wrong in one way or another."""
+    k, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select("s_suppkey", F.when(k % 5 != 0, F.concat(F.lit("s"), text(k), F.lit("@x.com"))).otherwise("").alias("key"), F.when(k % 7 == 0, F.concat(F.lit("u.x/"), text(k))).otherwise("").alias("url"), F.lit("").alias("description"), F.when(k % 3 == 0, F.concat("s_name", "s_name")).otherwise(F.col("s_name")).alias("merchant_name"), F.col("n_name").alias("city"), F.when(k % 4 == 0, "1.234").otherwise(F.format_string("%.2f", F.abs("s_acctbal"))).alias("amount"), F.concat(F.lit("T"), text(k)).alias("txid"))
+
+
+def _of(rows):
+    return {c: rows[c] for c in ("key", "url", "description", "merchant_name", "city", "amount", "txid")}
+
+
+_PAY_SQL = """pay AS (SELECT s_suppkey, s_suppkey AS k, CASE WHEN s_suppkey % 5 <> 0 THEN 's' || s_suppkey || '@x.com' ELSE '' END AS key, CASE WHEN s_suppkey % 7 = 0 THEN 'u.x/' || s_suppkey ELSE '' END AS url, CASE WHEN s_suppkey % 3 = 0 THEN s_name || s_name ELSE s_name END AS merchant_name, n_name AS city, CASE WHEN s_suppkey % 4 = 0 THEN '1.234' ELSE printf('%.2f', abs(s_acctbal)) END AS amount, 'T' || s_suppkey AS txid FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+why AS (SELECT *, CASE WHEN key = '' AND url = '' THEN 'a key or a url is required' WHEN key <> '' AND url <> '' THEN 'key and url exclude each other' WHEN strlen(merchant_name) > 25 THEN 'merchant_name exceeds 25 bytes' WHEN strlen(city) > 15 THEN 'city exceeds 15 bytes' WHEN k % 4 = 0 THEN 'amount is not a decimal with up to two places' END AS reason FROM pay)"""
+
+
+@query("F34_payload_validate", f"WITH {_PAY_SQL} SELECT s_suppkey, reason FROM why")
+def f34(spark, d):
+    rows = _payloads(spark, d)
+    return rows.select("s_suppkey", codec.invalid_reason(_of(rows)).alias("reason"))
+
+
+@query("F33_parse_round_trip", f"WITH {_PAY_SQL} SELECT s_suppkey, key, url, merchant_name, city, amount, txid, true AS crc_valid FROM why WHERE reason IS NULL")
+def f33(spark, d):
+    rows = _payloads(spark, d)
+    good = rows.where(codec.invalid_reason(_of(rows)).isNull()).select("s_suppkey", codec.parse(codec.encode(_of(rows))).alias("p"))
+    return good.select("s_suppkey", *[f"p.{c}" for c in ("key", "url", "merchant_name", "city", "amount", "txid", "crc_valid")])
+
+
+_F = "lpad(strlen({0})::VARCHAR, 2, '0') || {0}"
+_CODE_SQL = f"""{_PAY_SQL},
+acc AS (SELECT *, '0014br.gov.bcb.pix' || CASE WHEN url <> '' THEN '25' || {_F.format('url')} ELSE '01' || {_F.format('key')} END AS account, '05' || {_F.format('txid')} AS more FROM why WHERE reason IS NULL),
+head AS (SELECT s_suppkey, '000201' || CASE WHEN url <> '' THEN '010212' ELSE '010211' END || '26' || {_F.format('account')} || '52040000' || '5303986' || '54' || {_F.format('amount')} || '5802BR' || '59' || {_F.format('merchant_name')} || '60' || {_F.format('city')} || '62' || {_F.format('more')} || '6304' AS t FROM acc)"""
+
+
+@query("F35_payload_encode", f"WITH {_CODE_SQL} SELECT s_suppkey, t || printf('%04X', {_CRC.format('t')}::BIGINT) AS code FROM head")
+def f35(spark, d):
+    rows = _payloads(spark, d)
+    return rows.select("s_suppkey", codec.encode(_of(rows)).alias("code")).where("code is not null")
+
+
 QUERIES, SQL = registry.queries, registry.sql

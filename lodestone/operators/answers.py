@@ -6,9 +6,11 @@ import json
 from collections import OrderedDict
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..adapters import CONCEPT_SQL, concepts, table
 from ..functions.text import cache_key, contains_unaccented, redact
 from ..plans.registry import Registry
 from .retrieval import ADJACENT, VOCABULARY
@@ -44,7 +46,11 @@ def json_in_prose(reply: str) -> str:
 
 def intent_terms(replies: DataFrame) -> DataFrame:
     """(id, terms) of enrichment replies (value): {"concepts": [{"id", "intent_terms"}]}; the last of an id's wins."""
-    bare = F.udf(json_in_prose, "string")("value")
+    @F.pandas_udf("string")
+    def whole(values: pd.Series) -> pd.Series:
+        return values.map(json_in_prose, na_action="ignore")
+
+    bare = whole("value")
     rows = replies.select(F.posexplode(F.from_json(bare, "struct<concepts:array<struct<id:string,intent_terms:string>>>")["concepts"]).alias("n", "c"))
     rows = rows.select("n", F.trim("c.id").alias("id"), F.trim("c.intent_terms").alias("terms")).where("id <> ''")
     return rows.groupBy("id").agg(F.max_by("terms", "n").alias("terms"))
@@ -118,8 +124,12 @@ def grounding_bodies(order: DataFrame, concepts: DataFrame) -> DataFrame:
     return order.join(concepts.select("id", "title", "body"), "id").select("ord", "id", "title", "body").orderBy("ord")
 
 
+#: Small tables with the values expected of them, for the tests.
+LITERALS: dict = {}
+
+
 def _values(name, rows, columns, make, sql):
-    registry.add(name, lambda spark, d: make(spark.createDataFrame(rows, columns)), sql)
+    LITERALS[name] = (lambda spark: make(spark.createDataFrame(rows, columns)), sql)
 
 
 _values("J13_adjacent_types", [("a", "PacsMessage"), ("b", "WebPage")], "id string, type string", lambda t: adjacent_types(t, F.lit("ApiEndpoint")), "SELECT * FROM (VALUES ('a', 'PacsMessage', true), ('b', 'WebPage', false)) t(id, type, adjacent)")
@@ -128,10 +138,39 @@ _values("J15_brand_join", [("nubank",), ("Banco do Brasil",), ("nu",)], "q strin
 _values("F43_intent_terms", [('ok ```json\n{"concepts":[{"id":"a","intent_terms":" x, y "},{"id":""}]}\n``` end',)], "value string", intent_terms, "SELECT 'a' AS id, 'x, y' AS terms")
 
 
+_ADJACENT = " OR ".join(f"type = '{t}'" for t in ADJACENT["ApiEndpoint"])
+_STEMS = ", ".join(f"('{stem}', '{s}')" for stems, s in VOCABULARY for stem in stems)
+_BRANDS = ", ".join(f"('{a}', '{b}')" for a, b in BRANDS)
+
+
+@query("J13_adjacent_types", f"WITH {CONCEPT_SQL} SELECT id, {_ADJACENT} AS adjacent FROM concept")
+def j13(spark, d):
+    return adjacent_types(concepts(spark, d).select("id", "type"), F.lit("ApiEndpoint")).select("id", "adjacent")
+
+
+@query("J14_stem_join", f"WITH {CONCEPT_SQL}, w AS (SELECT DISTINCT (['estorn', 'api', 'dict', 'nada', 'chave'])[substr(id, 12, 1)::INT % 5 + 1] || language || substr(id, 11, 1) AS word FROM concept) SELECT DISTINCT word, subquery FROM w JOIN (VALUES {_STEMS}) t(stem, subquery) ON starts_with(word, stem)")
+def j14(spark, d):
+    """Words that begin with some of the stems, and one that does not."""
+    some = F.array(*map(F.lit, ("estorn", "api", "dict", "nada", "chave")))
+    word = F.concat(F.get(some, F.substring("id", 12, 1).cast("int") % 5), "language", F.substring("id", 11, 1))
+    return vocabulary_hits(concepts(spark, d).select(word.alias("word")).distinct())
+
+
+@query("J15_brand_join", f"WITH q AS (SELECT DISTINCT q FROM (SELECT 'Banco ' || n_name AS q FROM nation UNION ALL SELECT p_name FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part)), l AS (SELECT q, lower(trim(q)) AS w FROM q WHERE trim(q) <> '') SELECT DISTINCT q, fragment FROM (SELECT q, w, fragment FROM l JOIN (VALUES {_BRANDS}) t(brand, fragment) ON length(w) >= 3 AND (contains(brand, w) OR contains(w, brand)) UNION ALL SELECT q, w, 'bco ' || substr(w, 7) FROM l WHERE starts_with(w, 'banco ')) WHERE fragment <> w")
+def j15(spark, d):
+    names, parts = table(spark, d, "nation").select(F.concat(F.lit("Banco "), "n_name").alias("q")), table(spark, d, "part").select(F.col("p_name").alias("q"))
+    return brand_fragments(names.unionAll(parts).unionAll(parts.select(F.explode(F.split("q", " ")).alias("q"))).distinct())
+
+
+@query("F43_intent_terms", f"WITH {CONCEPT_SQL} SELECT id, 'x, ' || language AS terms FROM concept")
+def f43(spark, d):
+    """Replies in prose with a fenced object; of two entries of an id the last counts."""
+    reply = F.concat(F.lit('ok ```json\n{"concepts":[{"id":"'), "id", F.lit('","intent_terms":"first"},{"id":"'), "id", F.lit('","intent_terms":" x, '), "language", F.lit(' "},{"id":""}]}\n``` end'))
+    return intent_terms(concepts(spark, d).select(reply.alias("value")))
+
+
 @query("J12_grounding_bodies", "WITH o AS (SELECT * FROM (VALUES (0, 2), (1, 999999), (2, 1)) t(ord, k)) SELECT ord, printf('doc/%08d.md', doc_id) AS id, left(split_part(text, chr(10), 1), 80) AS title, text AS body FROM o JOIN documents ON doc_id = k ORDER BY ord")
 def j12(spark, d):
-    from ..adapters import concepts
-
     order = spark.createDataFrame([(0, "doc/00000002.md"), (1, "doc/00999999.md"), (2, "doc/00000001.md")], "ord int, id string")
     return grounding_bodies(order, concepts(spark, d))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,19 +13,37 @@ from ..adapters import CONCEPT_SQL, concepts, table
 from ..functions.text import CLOSE, OPEN, all_caps, markdown_links, without_heading
 from ..plans.registry import Registry
 from .relational import second_sightings, without_edges
+from .store import cut
 
 registry = Registry()
 query = registry
-#: What deviates from a neutral text. O and C stand for the edges of an ASCII word.
+#: What deviates from a neutral text; OPEN and CLOSE are the edges of an ASCII word.
 DEVIATIONS = (
-    ("message broker", "O(?:pulsar|kafka|rabbitmq|activemq)C"), ("broker topic", "Otopic[:=]\\s*\\S"), ("deploy/infra", "O(?:argocd|kubernetes|k8s|kustomize|helm chart|dockerfile)C"), ("k8s namespace", "Onamespace[:=]\\s*\\S"),
-    ("microservice naming", "O[a-z0-9]+-(?:svc|service|go)-[a-z0-9-]+C"), ("internal correlation id", "O(?:correlation[_-]?id|trace[_-]?id|span[_-]?id)C"), ("SQL/db schema", "O(?:select\\s+.+\\s+from|insert\\s+into|create\\s+table|alter\\s+table)C"),
-    ("db column ref", "O(?:table|column)\\s+[\"`][a-z_]+[\"`]"), ("company proto pkg", "O[a-z]+\\.[a-z]+\\.v[0-9]+\\.[A-Z][A-Za-z]+(?:Request|Response|Service)C"),
-)
+    ("message broker", f"{OPEN}(?:pulsar|kafka|rabbitmq|activemq){CLOSE}"),
+    ("broker topic", f"{OPEN}topic[:=]\\s*\\S"),
+    ("deploy/infra", f"{OPEN}(?:argocd|kubernetes|k8s|kustomize|helm chart|dockerfile){CLOSE}"),
+    ("k8s namespace", f"{OPEN}namespace[:=]\\s*\\S"),
+    ("microservice naming", f"{OPEN}[a-z0-9]+-(?:svc|service|go)-[a-z0-9-]+{CLOSE}"),
+    ("internal correlation id", f"{OPEN}(?:correlation[_-]?id|trace[_-]?id|span[_-]?id){CLOSE}"),
+    ("SQL/db schema", f"{OPEN}(?:select\\s+.+\\s+from|insert\\s+into|create\\s+table|alter\\s+table){CLOSE}"),
+    ("db column ref", f"{OPEN}(?:table|column)\\s+[\"`][a-z_]+[\"`]"),
+    ("company proto pkg", f"{OPEN}[a-z]+\\.[a-z]+\\.v[0-9]+\\.[A-Z][A-Za-z]+(?:Request|Response|Service){CLOSE}"),
+)
 #: Placeholders of worked examples.
-SAMPLES = ("(?i)O(?:fulano|beltrano|sicrano)C", "(?i)Ode talC", "O00[.\\s]?123[.\\s]?456", "O0{3}[.\\s]?0{3}[.\\s]?0{3}[-\\s]?0{2}C", "O0{2}[.\\s]?0{3}[.\\s]?0{3}/0{4}[-\\s]?0{2}C")
+SAMPLES = (
+    f"(?i){OPEN}(?:fulano|beltrano|sicrano){CLOSE}",
+    f"(?i){OPEN}de tal{CLOSE}",
+    f"{OPEN}00[.\\s]?123[.\\s]?456",
+    f"{OPEN}0{{3}}[.\\s]?0{{3}}[.\\s]?0{{3}}[-\\s]?0{{2}}{CLOSE}",
+    f"{OPEN}0{{2}}[.\\s]?0{{3}}[.\\s]?0{{3}}/0{{4}}[-\\s]?0{{2}}{CLOSE}",
+)
 #: Titles that are fragments.
-JUNK_TITLES = ("(?i)^anexo(?![0-9A-Za-z_])", "^[0-9.\\s]+$", "(?i)(?:O(?:de|da|do|e|a|o)|(?<=[0-9A-Za-z_])é)$", "(?i)^(?:figura|tabela|quadro)\\s+\\d+$")
+JUNK_TITLES = (
+    "(?i)^anexo(?![0-9A-Za-z_])",
+    "^[0-9.\\s]+$",
+    f"(?i)(?:{OPEN}(?:de|da|do|e|a|o)|(?<=[0-9A-Za-z_])é)$",
+    "(?i)^(?:figura|tabela|quadro)\\s+\\d+$",
+)
 #: The weight of each sign of poor search health.
 WEIGHTS = {"eval-regression": 3, "bundle-drift": 3, "sparse-terms": 1, "noisy-title": 1, "sparse-graph": 1}
 #: Who mends what, first match first.
@@ -33,52 +51,70 @@ FIXERS = (("deviation", ("deviation",)), ("hygiene", ("junk-title", "broken-link
 STUB = 40
 
 
+def _finding(df: DataFrame, check: str, severity: str, fixable: bool, detail) -> DataFrame:
+    return df.select(F.lit(check).alias("check"), F.col("id").alias("concept_id"), F.lit(severity).alias("severity"), detail.alias("detail"), F.lit(fixable).alias("fixable"))
 
-def _java(pattern: str) -> str:
-    """The pattern with its word edges spelt out; only a leading O and a trailing C are edges."""
-    head = "(?i)" if pattern.startswith("(?i)") else ""
-    body = pattern[len(head) :]
-    body = OPEN + body[1:] if body.startswith("O") else body.replace("(?:O(", "(?:" + OPEN + "(")
-    return head + (body[:-1] + CLOSE if body.endswith("C") else body)
 
+def _found(check: str, severity, fixable: bool, detail) -> Column:
+    """A finding of one row; null where detail is."""
+    severity = F.lit(severity) if isinstance(severity, str) else severity
+    return F.when(detail.isNotNull(), F.struct(F.lit(check).alias("check"), severity.alias("severity"), detail.alias("detail"), F.lit(fixable).alias("fixable")))
+
+
+def _listed(df: DataFrame, findings: Column) -> DataFrame:
+    """A row for each finding of an array of them."""
+    rows = df.select(F.col("id").alias("concept_id"), F.explode(F.array_compact(findings)).alias("f"))
+    return rows.select("f.check", "concept_id", "f.severity", "f.detail", "f.fixable")
+
+
+def _deviations(text: Column) -> Column:
+    hits = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract(text, "(?i)" + p, 0).alias("hit")) for label, p in DEVIATIONS])
+    return F.transform(F.filter(hits, lambda h: h.hit != ""), lambda h: _found("deviation", "error", True, F.concat(F.lit("implementation-specific ("), h.label, F.lit("): "), h.hit)))
 
-def _finding(df: DataFrame, check: str, severity: str, fixable: bool, detail) -> DataFrame:
-    return df.select(F.lit(check).alias("check"), F.col("id").alias("concept_id"), F.lit(severity).alias("severity"), detail.alias("detail"), F.lit(fixable).alias("fixable"))
+
+def _sample() -> Column:
+    text = F.concat_ws("\n", "title", "description")
+    hit = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in SAMPLES])
+    return _found("sample-data", "warn", True, F.concat(F.lit("placeholder "), hit))
+
+
+def _junk() -> Column:
+    t = F.trim(F.coalesce("title", F.lit("")))
+    shouted = all_caps(t) & (F.size(F.split(t, "\\s+")) <= 3)
+    fragment = reduce(lambda a, b: a | b, [t.rlike(p) for p in JUNK_TITLES])
+    reason = F.when(t == "", "empty title").when(F.octet_length(t) < 4, "title too short").when(shouted, "all-caps fragment title").when(fragment, "fragment title")
+    return _found("junk-title", F.when(t == "", "error").otherwise("warn"), True, F.when(t == "", reason).otherwise(F.concat(reason, F.lit(": "), t)))
+
+
+def _stub() -> Column:
+    size = F.octet_length(F.trim(F.regexp_replace(without_heading(F.col("body")), "^\\s+|\\s+$", "")))
+    return _found("stub-body", "warn", True, F.when(size < STUB, F.concat(F.lit("body too thin ("), size.cast("string"), F.lit(" bytes)"))))
+
+
+def _missing(column: str, check: str, severity: str, fixable: bool) -> Column:
+    return _found(check, severity, fixable, F.when(F.trim(F.coalesce(column, F.lit(""))) == "", F.lit(f"no {column}")))
 
 
 def deviations(df: DataFrame, text=None) -> DataFrame:
     """One finding for each pattern that the text holds, with the first place that matches."""
-    text = F.concat_ws("\n", "title", "body") if text is None else text
-    hits = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract(text, "(?i)" + _java(p), 0).alias("hit")) for label, p in DEVIATIONS])
-    rows = df.select("id", F.explode(F.filter(hits, lambda h: h.hit != "")).alias("h"))
-    return _finding(rows, "deviation", "error", True, F.concat(F.lit("implementation-specific ("), "h.label", F.lit("): "), "h.hit"))
+    return _listed(df, _deviations(F.concat_ws("\n", "title", "body") if text is None else text))
 
 
 def sample_data(df: DataFrame) -> DataFrame:
-    text = F.concat_ws("\n", "title", "description")
-    hit = F.coalesce(*[F.nullif(F.regexp_extract(text, _java(p), 0), F.lit("")) for p in SAMPLES])
-    rows = df.select("id", hit.alias("hit")).where("hit is not null")
-    return _finding(rows, "sample-data", "warn", True, F.concat(F.lit("placeholder "), "hit"))
+    return _listed(df, F.array(_sample()))
 
 
 def junk_titles(df: DataFrame) -> DataFrame:
     """Empty titles are errors; short, shouted and fragmentary ones are warnings; the first reason counts."""
-    t = F.trim(F.coalesce("title", F.lit("")))
-    fragment = reduce(lambda a, b: a | b, [t.rlike(_java(p)) for p in JUNK_TITLES])
-    reason = F.when(t == "", "empty title").when(F.octet_length(t) < 4, "title too short").when(all_caps(t) & (F.size(F.split(t, "\\s+")) <= 3), "all-caps fragment title").when(~(all_caps(t) & (F.size(F.split(t, "\\s+")) <= 3)) & fragment, "fragment title")
-    rows = df.select("id", t.alias("t"), reason.alias("reason")).where("reason is not null")
-    found = _finding(rows, "junk-title", "warn", True, F.when(F.col("t") == "", F.col("reason")).otherwise(F.concat("reason", F.lit(": "), "t")))
-    return found.withColumn("severity", F.when(F.col("detail") == "empty title", "error").otherwise("warn"))
+    return _listed(df, F.array(_junk()))
 
 
 def stub_bodies(df: DataFrame) -> DataFrame:
-    size = F.octet_length(F.trim(F.regexp_replace(without_heading(F.col("body")), "^\\s+|\\s+$", "")))
-    rows = df.select("id", size.alias("n")).where(F.col("n") < STUB)
-    return _finding(rows, "stub-body", "warn", True, F.concat(F.lit("body too thin ("), F.col("n").cast("string"), F.lit(" bytes)")))
+    return _listed(df, F.array(_stub()))
 
 
 def missing(df: DataFrame, column: str, check: str, severity: str, fixable: bool) -> DataFrame:
-    return _finding(df.where(F.trim(F.coalesce(column, F.lit(""))) == ""), check, severity, fixable, F.lit(f"no {column}"))
+    return _listed(df, F.array(_missing(column, check, severity, fixable)))
 
 
 def broken_links(df: DataFrame) -> DataFrame:
@@ -96,8 +132,9 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame) -> DataFrame:
-    """All findings, errors first, then by check and id."""
-    parts = [deviations(df), missing(df, "type", "missing-type", "error", False), sample_data(df), junk_titles(df), stub_bodies(df), missing(df, "source_uri", "missing-provenance", "warn", False), broken_links(df), duplicates(df)]
+    """All findings, errors first, then by check and id. Checks of single rows share one pass."""
+    own = F.array(_missing("type", "missing-type", "error", False), _sample(), _junk(), _stub(), _missing("source_uri", "missing-provenance", "warn", False))
+    parts = [_listed(df, F.concat(_deviations(F.concat_ws("\n", "title", "body")), own)), broken_links(df), duplicates(df)]
     return reduce(DataFrame.unionByName, parts).orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "check", "concept_id", "detail")
 
 
@@ -126,6 +163,39 @@ def curate(df: DataFrame, fixer: Callable[[DataFrame], DataFrame], only: list[st
     return df.join(changed.select("id"), "id", "left_anti").select(df.columns).unionByName(changed.select(df.columns)), errors
 
 
+def enrich(df: DataFrame, fixer: Callable[[DataFrame], DataFrame], rounds: int = 3, only: list[str] | None = None, again: bool = False, apply: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows with intent terms merged in, (id, status, detail, round)): rows are taken or refused one by one.
+
+    ``fixer`` gets the rows without intent terms (all rows if ``again``) and gives (id, intent_terms); the last of an id's
+    replies counts by the greater text. A row is refused if the gate has an error for it or its terms deviate, and is asked for
+    again up to ``rounds`` times; so are rows without a reply. status is applied (proposed
+    without ``apply``), rejected, or no-change. The body is never changed.
+    """
+    left = df if again else df.where(F.trim(F.coalesce("intent_terms", F.lit(""))) == "")
+    left = left.where(F.col("id").isin(*only)) if only else left
+    left = cut(left.select("id"))
+    merged, items = df, None
+    for n in range(1, rounds + 1):
+        reply = fixer(df.join(left, "id", "left_semi")).select("id", F.trim("intent_terms").alias("_terms")).groupBy("id").agg(F.max("_terms").alias("_terms"))
+        asked = df.join(left.join(reply, "id", "left"), "id")
+        changed = asked.where("_terms <> ''").withColumn("intent_terms", F.col("_terms"))
+        terms = deviations(changed, F.col("intent_terms"))
+        bad = gate(df, changed.drop("_terms")).unionByName(terms).groupBy(F.col("concept_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("check")), ", ").alias("bad"))
+        status = F.when(F.coalesce("_terms", F.lit("")) == "", "no-change").when(F.col("bad").isNotNull(), "rejected").otherwise("applied" if apply else "proposed")
+        detail = F.when(status == "no-change", "no intent_terms").when(status == "rejected", F.concat(F.lit("gate: "), "bad")).otherwise(F.concat(F.lit("intent_terms: "), F.size(F.split("_terms", "\\s+")).cast("string"), F.lit(" terms")))
+        found = cut(asked.select("id", "_terms").join(bad, "id", "left").select("id", status.alias("status"), detail.alias("detail"), F.lit(n).alias("round"), "_terms"))
+        done = found.where(F.col("status").isin("applied", "proposed"))
+        items = done if items is None else items.unionByName(done)
+        left = found.join(done, "id", "left_anti").select("id")
+        if n == rounds or left.isEmpty() or done.isEmpty():
+            items = items.unionByName(found.join(done, "id", "left_anti"))
+            break
+    if apply:
+        taken = items.where("status = 'applied'").select("id", "_terms")
+        merged = df.join(taken, "id", "left").withColumn("intent_terms", F.coalesce("_terms", "intent_terms")).select(df.columns)
+    return merged, items.drop("_terms")
+
+
 def health(signals: DataFrame) -> DataFrame:
     """(concept_id, score, kinds) by the signals' weights, worst first."""
     weight = F.coalesce(*[F.when(F.col("kind") == k, w) for k, w in WEIGHTS.items()], F.lit(0))
@@ -221,7 +291,7 @@ def h06(spark, d):
     return missing(concepts(spark, d), "source_uri", "missing-provenance", "warn", False).select("concept_id")
 
 
-@query("H07_broken_links", None)
+@query("H07_broken_links", f"WITH {_C}, t AS (SELECT id, unnest(['doc/00000001.md', 'gone/' || left(content_sha, 2) || '.md']) AS target FROM concept) SELECT id AS concept_id, 'no row ' || target AS detail FROM t WHERE target NOT IN (SELECT id FROM concept)")
 def h07(spark, d):
     rows = concepts(spark, d).select("id", F.concat(F.lit("see [a](doc/00000001.md) and [b](gone/"), F.substring("content_sha", 1, 2), F.lit(".md#top)")).alias("body"))
     return broken_links(rows).select("concept_id", "detail")
@@ -251,15 +321,40 @@ def a12(spark, d):
     return found.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("H12_routes", None)
+_JUNK_SQL = """t = '' OR strlen(t) < 4 OR (regexp_matches(t, '[A-Z]') AND NOT regexp_matches(t, '[a-z]') AND len(regexp_split_to_array(t, '\\s+')) <= 3)
+ OR regexp_matches(t, '(?i)^anexo\\b|^[0-9.\\s]+$|\\b(é|de|da|do|e|a|o)$|^(figura|tabela|quadro)\\s+\\d+$')"""
+_DEVIATION_SQL = "(?i)\\b(pulsar|kafka|rabbitmq|activemq)\\b|\\btopic[:=]\\s*\\S|\\b(argocd|kubernetes|k8s|kustomize|helm chart|dockerfile)\\b|\\bnamespace[:=]\\s*\\S|\\b[a-z0-9]+-(svc|service|go)-[a-z0-9-]+\\b|\\b(correlation[_-]?id|trace[_-]?id|span[_-]?id)\\b|\\b(select\\s+.+\\s+from|insert\\s+into|create\\s+table|alter\\s+table)\\b|\\b(table|column)\\s+[\"`][a-z_]+[\"`]|\\b[a-z]+\\.[a-z]+\\.v[0-9]+\\.[A-Z][A-Za-z]+(Request|Response|Service)\\b"
+_ROUTE_SQL = f"""{_C},
+found AS (
+  SELECT id, 'deviation' AS c, 0 AS r FROM concept WHERE regexp_matches(title || chr(10) || body, '{_DEVIATION_SQL}')
+  UNION ALL SELECT id, 'missing-type', NULL FROM concept WHERE trim(type) = ''
+  UNION ALL SELECT id, 'sample-data', 1 FROM concept WHERE regexp_matches(title || chr(10) || description, '(?i)\\b(fulano|beltrano|sicrano|de tal)\\b|\\b00[.\\s]?123[.\\s]?456|\\b000[.\\s]?000[.\\s]?000[-\\s]?00\\b|\\b00[.\\s]?000[.\\s]?000/0000[-\\s]?00\\b')
+  UNION ALL SELECT id, 'junk-title', 1 FROM (SELECT id, trim(title) AS t FROM concept) WHERE {_JUNK_SQL}
+  UNION ALL SELECT id, 'stub-body', 2 FROM concept WHERE strlen(regexp_replace(regexp_replace(body, '^[\\n ]*# [^\\n]*\\n?', ''), '^\\s+|\\s+$', '', 'g')) < 40
+  UNION ALL SELECT id, 'missing-provenance', NULL FROM concept WHERE trim(coalesce(source_uri, '')) = ''
+  UNION ALL SELECT id, 'duplicate', 1 FROM (SELECT id, first_value(id) OVER (PARTITION BY content_sha ORDER BY id) AS f FROM concept) WHERE id <> f
+  UNION ALL SELECT id, 'duplicate', 1 FROM (SELECT id, first_value(id) OVER (PARTITION BY lower(trim(title)) ORDER BY id) AS f FROM concept WHERE trim(title) <> '') WHERE id <> f),
+route AS (SELECT id AS concept_id, (['deviation', 'hygiene', 'research'])[min(r) + 1] AS agent, array_to_string(list_sort(list(DISTINCT c)), ',') AS checks FROM found GROUP BY id)"""
+
+
+@query("H12_routes", f"WITH {_ROUTE_SQL} SELECT * FROM route")
 def h12(spark, d):
-    return routes(scan(concepts(spark, d)))
+    return routes(scan(concepts(spark, d))).withColumn("checks", F.array_join("checks", ","))
 
 
-@query("H15_search_health", None)
+@query("H14_enrich_rows", f"WITH {_C}, r AS (SELECT id, CASE WHEN trim(intent_terms) <> '' THEN 'kept' WHEN regexp_matches(title || chr(10) || body, '{_DEVIATION_SQL}') OR trim(title) = '' OR language = 'de' THEN 'rejected' WHEN language = 'fr' THEN 'no-change' ELSE 'applied' END AS status, language, intent_terms FROM concept) SELECT id, status, CASE status WHEN 'applied' THEN 'about ' || language ELSE intent_terms END AS intent_terms FROM r WHERE status <> 'kept'")
+def h14(spark, d):
+    """A fixer with terms for most languages, bad ones for one, and none for another."""
+    c = concepts(spark, d)
+    terms = F.when(F.col("language") == "de", "the kafka topic").when(F.col("language") == "fr", " ").otherwise(F.concat(F.lit(" about "), "language"))
+    after, items = enrich(c, lambda rows: rows.select("id", terms.alias("intent_terms")), rounds=2)
+    return items.join(after.select("id", "intent_terms"), "id").select("id", "status", "intent_terms")
+
+
+@query("H15_search_health", f"WITH {_C}, link AS (SELECT printf('doc/%08d.md', o_custkey) AS src, printf('doc/%08d.md', o_orderkey) AS dst FROM orders), s AS (SELECT id, 'sparse-terms' AS k FROM concept WHERE trim(coalesce(intent_terms, '')) = '' UNION ALL SELECT id, 'noisy-title' FROM (SELECT id, trim(title) AS t FROM concept) WHERE {_JUNK_SQL} UNION ALL SELECT id, 'sparse-graph' FROM concept WHERE id NOT IN (SELECT src FROM link) AND id NOT IN (SELECT dst FROM link)) SELECT id AS concept_id, count(*) AS score, array_to_string(list(k ORDER BY k), ',') AS kinds FROM s GROUP BY id")
 def h15(spark, d):
     links = table(spark, d, "orders").select(F.format_string("doc/%08d.md", F.col("o_custkey")).alias("src"), F.format_string("doc/%08d.md", F.col("o_orderkey")).alias("dst"))
-    return health(health_signals(concepts(spark, d), links))
+    return health(health_signals(concepts(spark, d), links)).withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("A11_weighted_signals", "SELECT c_custkey::VARCHAR AS concept_id, sum(CASE o_orderstatus WHEN 'F' THEN 3 ELSE 1 END)::BIGINT AS score FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey ORDER BY score DESC, concept_id")
@@ -306,7 +401,7 @@ def e03(spark, d):
     return leaked(cases, hits.where("rank <= 2")).select("case_id", "id", "rank")
 
 
-@query("E07_scores_do_not_grow", f"WITH {_HITS} SELECT DISTINCT case_id, true AS ok FROM hits")
+@query("E07_scores_do_not_grow", f"WITH {_HITS}, u AS (SELECT case_id, score > lag(score) OVER (PARTITION BY case_id ORDER BY rank) AS up FROM hits) SELECT case_id, NOT bool_or(coalesce(up, false)) AS ok FROM u GROUP BY case_id")
 def e07(spark, d):
     return non_increasing(_cases(spark, d)[1])
 
@@ -349,15 +444,17 @@ def e06(spark, d):
     return leaked(forbidden, hits.where("rank <= 1")).groupBy("case_id").agg(F.count("*").alias("leaks"))
 
 
-@query("H11_gate", f"WITH {_C} SELECT id AS concept_id FROM concept WHERE id = 'doc/00000003.md'")
+@query("H11_gate", f"WITH {_C} SELECT id AS concept_id FROM concept WHERE substr(id, 12, 1) = '3' AND language <> 'en'")
 def h11(spark, d):
+    """Rows of one last digit are changed, all but one language's for the worse."""
     c = concepts(spark, d)
-    changed = c.where("id in ('doc/00000003.md', 'doc/00000004.md')").withColumn("body", F.when(F.col("id") == "doc/00000003.md", "now on kubernetes, as before but longer").otherwise(F.lit("a plain text of more than forty characters in all")))
-    return gate(c, changed).select("concept_id").distinct()
+    bad = F.when(F.col("language") == "en", "a plain text of more than forty characters in all").otherwise("now on kubernetes, as before but longer")
+    return gate(c, c.where(F.substring("id", 12, 1) == "3").withColumns({"body": bad, "title": F.lit("A title")})).select("concept_id").distinct()
 
 
-@query("H13_plan_preview", None)
+@query("H13_plan_preview", f"WITH {_ROUTE_SQL} SELECT * FROM route WHERE agent = 'hygiene' ORDER BY concept_id LIMIT 50")
 def h13(spark, d):
-    return routes(scan(concepts(spark, d))).where("agent = 'hygiene'").orderBy("concept_id").limit(50)
+    return routes(scan(concepts(spark, d))).where("agent = 'hygiene'").orderBy("concept_id").limit(50).withColumn("checks", F.array_join("checks", ","))
+
 
 QUERIES, SQL = registry.queries, registry.sql

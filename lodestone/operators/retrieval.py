@@ -402,26 +402,38 @@ def f04(spark, d):
     return concepts(spark, d).select("id", F.array_join(matched_fields(F.lit("From que?"), title=F.col("title"), intent_terms=F.col("intent_terms"), body=F.col("body")), ",").alias("fields"))
 
 
-@query("J10_citation_join", "SELECT * FROM (VALUES ('x', 'z', 'RES-BCB-1', 'cites'), ('w', 'v', 'CIR-3682', 'cites')) t(src, dst, norm_ref, kind)")
+def citing(spark, d) -> DataFrame:
+    """Rows of which the even ones are norms, dated or not, and each odd one cites the norm before it and one that is not there."""
+    k = F.substring("id", 5, 8).cast("long")
+    ref = F.when(k % 2 == 0, F.concat(F.lit("RES-BCB-"), k.cast("string"), F.when(k % 4 == 0, "-2020").otherwise("")))
+    text = F.when(k % 2 == 1, F.concat(F.lit("ver Resolução BCB nº "), (k - 1).cast("string"), F.when(k % 3 == 0, ", de 12 de agosto de 2021").otherwise(""), F.lit(" e a Circular nº 3.682")))
+    return concepts(spark, d).select("id", F.concat_ws("\n", "title", text).alias("body"), ref.alias("norm_ref"))
+
+
+_CITE_SQL = f"{CONCEPT_SQL}, k AS (SELECT id, substr(id, 5, 8)::BIGINT AS k FROM concept), cite AS (SELECT a.id AS src, b.id AS dst, 'RES-BCB-' || b.k AS norm_ref FROM k a JOIN k b ON b.k = a.k - 1 WHERE a.k % 2 = 1)"
+
+
+@query("J10_citation_join", f"WITH {_CITE_SQL} SELECT src, dst, norm_ref, 'cites' AS kind FROM cite")
 def j10(spark, d):
-    rows = [("x", "ver Resolução BCB nº 1, de 12 de agosto de 2020", ""), ("y", "", "RES-BCB-1"), ("z", "Resolução BCB nº 1", "RES-BCB-1-2020"), ("w", "a Circular nº 3.682", None), ("v", "", "CIR-3682")]
-    return citation_edges(spark.createDataFrame(rows, "id string, body string, norm_ref string"))
+    return citation_edges(citing(spark, d))
 
 
-@query("G06_citation_graph", "SELECT 1::BIGINT AS matched, 1::BIGINT AS new")
+@query("G06_citation_graph", f"WITH {_CITE_SQL} SELECT count(*) AS matched, count(*) FILTER (src NOT IN (SELECT id FROM concept WHERE type = 'LegalArticle')) AS new FROM cite")
 def g06(spark, d):
-    rows = spark.createDataFrame([("x", "ver Resolução BCB nº 1", ""), ("z", "", "RES-BCB-1")], "id string, body string, norm_ref string")
-    found = citation_edges(rows).select("src", "dst", "kind")
-    fresh = found.join(edges(spark, d), ["src", "dst", "kind"], "left_anti")
-    return found.agg(F.count("*").alias("matched")).join(fresh.agg(F.count("*").alias("new")))
+    """Citations of rows of one type are in the graph already."""
+    found = citation_edges(citing(spark, d)).select("src", "dst", "kind")
+    held = found.join(concepts(spark, d).where("type = 'LegalArticle'").select(F.col("id").alias("src")), "src", "left_semi")
+    fresh = found.join(held, ["src", "dst", "kind"], "left_anti")
+    parts = found.select(F.lit(1).alias("m"), F.lit(0).alias("n")).unionAll(fresh.select(F.lit(0), F.lit(1)))
+    return parts.agg(F.sum("m").alias("matched"), F.sum("n").alias("new"))
 
 
-@query("G05_cross_links", """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey || '-' || l_suppkey AS term FROM lineitem), u AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 25),
+@query("G05_cross_links", """WITH t AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS term FROM lineitem), u AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 25),
 p AS (SELECT a.id, b.id AS peer, count(*) AS shared FROM t a JOIN t b USING (term) SEMI JOIN u USING (term) WHERE a.id <> b.id GROUP BY ALL),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, peer) AS rank FROM p) WHERE rank <= 6)
 SELECT t.id::VARCHAR AS id, sha256(t.id || coalesce(chr(10) || chr(10) || '## Related' || chr(10) || chr(10) || any_value(l), '')) AS content_sha FROM (SELECT DISTINCT id FROM t) t LEFT JOIN (SELECT id, array_to_string(list('- [' || peer || '](' || peer || ')' ORDER BY rank), chr(10)) AS l FROM r GROUP BY id) x USING (id) GROUP BY t.id""")
 def g05(spark, d):
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("term")).distinct()
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("term")).distinct()
     peers = shared_term_peers(t)
     docs = t.select(F.col("id").cast("string").alias("id")).distinct().select("id", F.col("id").alias("title"), F.col("id").alias("body"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "peer"))), lambda x: F.concat(F.lit("- ["), x.peer.cast("string"), F.lit("]("), x.peer.cast("string"), F.lit(")"))), "\n")

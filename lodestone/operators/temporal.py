@@ -209,9 +209,12 @@ def m03(spark, d):
     return merge(pix, str_, ["ispb"]).select("ispb", "name", F.col("canonical_synced").isNotNull().alias("canonical"))
 
 
-@query("M04_secondary_upsert", "SELECT lpad(coalesce(s_suppkey, c_custkey)::VARCHAR, 8, '0') AS ispb, coalesce(s_name, c_name) AS name, s_suppkey IS NOT NULL AS canonical FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+@query("M04_secondary_upsert", "SELECT lpad(coalesce(s_suppkey, c_custkey)::VARCHAR, 8, '0') AS ispb, CASE WHEN c_custkey IS NULL OR s_nationkey < 12 THEN s_name ELSE c_name END AS name, coalesce(s_nationkey < 12, false) AS canonical FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
 def m04(spark, d):
+    """Participants of some nations have been read from the canonical source; the others take the secondary's name."""
     str_, pix = _participants(spark, d)
+    read = table(spark, d, "supplier").where("s_nationkey < 12").select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("ispb"), F.lit(True).alias("read"))
+    str_ = str_.join(read, "ispb", "left").withColumn("canonical_synced", F.when(F.col("read"), F.col("canonical_synced"))).drop("read")
     return upsert_secondary(str_, pix).select("ispb", "name", F.col("canonical_synced").isNotNull().alias("canonical"))
 
 

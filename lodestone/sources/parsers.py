@@ -15,11 +15,11 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import PORTUGUESE_MARKS, article_number, html_text, html_title, path_root, prose_language, slug
+from ..functions.text import PORTUGUESE_MARKS, article_number, clean_title, first_line, html_text, html_title, path_root, prose_language, slug
 
 MAX_SHEET_ROWS, MIN_PAGE_CHARS, README_BYTES = 500, 40, 4000
 #: What a request method does, and what a path is about.
@@ -261,16 +261,63 @@ def markdown_sections(texts: DataFrame, key: str = "doc", text: str = "text") ->
     return out.select("doc", "n", F.coalesce("doc_title", F.lit("")).alias("doc_title"), title.alias("title"), "body", prose_language(F.col("body")).alias("language"))
 
 
+#: The heads of a contents block, the longest gap between its leaders, and the lines that may follow the last one.
+CONTENTS, LEADER_GAP, LEADER_TRAIL = ("sumário", "sumario"), 40, 4
+#: Vowels, by which a word is told from a code, and the forms of headings.
+VOWELS, NUMBERED = "aeiouáâãàéêíóôõú", "^\\d+(?:\\.\\d+){0,3}\\.?\\s+(\\p{Lu}.{2,80})$"
+
+
+def _real_word(text: Column, least: int, vowels: str) -> Column:
+    """Whether one of the words has ``least`` letters and a vowel."""
+    letters = lambda w: F.regexp_replace(F.lower(w), "[^a-zà-\uffff]", "")
+    return F.exists(F.split(text, "\\s+"), lambda w: (F.length(letters(w)) >= least) & letters(w).rlike(f"[{vowels}]"))
+
+
+def is_heading(line: Column) -> Column:
+    """A numbered line that begins with a capital, or a line of capitals; real words, not codes or cells of a table."""
+    t = F.regexp_replace(line, "^\\s+|\\s+$", "")
+    words = F.split(t, "\\s+")
+    first = F.get(words, F.lit(0))
+    numbered = t.rlike(NUMBERED)
+    letters, digits = F.length(F.regexp_replace(t, "[^A-ZÀ-\uffff]", "")), F.length(F.regexp_replace(t, "[^0-9]", ""))
+    shouted = F.octet_length(t).between(8, 80) & ~t.rlike("[a-zà-ÿ]") & (F.size(words) >= 2) & (F.length(F.regexp_replace(first, "[^A-ZÀ-\uffff]", "")) >= 3) & ~first.rlike("^[0-9]+$") & (letters > digits) & _real_word(t, 4, VOWELS)
+    return (t != "") & (F.size(words) <= 12) & F.when(numbered, _real_word(F.regexp_extract(t, NUMBERED, 1), 3, VOWELS + "ç")).otherwise(shouted)
+
+
+def without_contents(lines: DataFrame) -> DataFrame:
+    """Lines (doc, at, raw) without each text's contents block.
+
+    It begins at the first line that is its head, and ends after the last of the leaders (lines of
+    dots) that follow each other within LEADER_GAP lines, and a page number among the next
+    LEADER_TRAIL lines after blank ones. Without a head or leaders nothing goes. Lines that end in a leader and a number go anywhere.
+    """
+    trimmed = F.regexp_replace("raw", "^\\s+|\\s+$", "")
+    head = lines.where(F.lower(trimmed).isin(*CONTENTS)).groupBy("doc").agg(F.min("at").alias("begin"))
+    after = Window.partitionBy("doc").orderBy("at")
+    leaders = lines.where(trimmed.rlike("^\\.{4,}$")).join(head, "doc").where("at >= begin").withColumn("far", F.coalesce(F.col("at") - F.lag("at").over(after) > LEADER_GAP + 1, F.lit(False)))
+    chain = leaders.withColumn("broken", F.max(F.col("far").cast("int")).over(after)).where("broken = 0").groupBy("doc", "begin").agg(F.max("at").alias("last"))
+    trail = lines.select("doc", "at", trimmed.alias("t")).join(chain, "doc").where((F.col("at") > F.col("last")) & (F.col("at") <= F.col("last") + LEADER_TRAIL))
+    first = F.min_by(F.struct("at", "t"), F.when(F.col("t") != "", F.col("at")))
+    stop = trail.groupBy("doc").agg(first.alias("f"), F.max("at").alias("most")).select("doc", F.when(F.col("f").isNull(), F.col("most") + 1).when(F.col("f.t").rlike("^\\d{1,4}$"), F.col("f.at") + 1).otherwise(F.col("f.at")).alias("stop"))
+    block = chain.join(stop, "doc", "left").select("doc", "begin", F.coalesce("stop", F.col("last") + 1).alias("stop"))
+    kept = lines.join(block, "doc", "left").where(F.col("begin").isNull() | (F.col("at") < F.col("begin")) | (F.col("at") >= F.col("stop")))
+    return kept.where(~trimmed.rlike("[^.\\s].*\\.{4,}\\s*\\d*$")).select("doc", "at", "raw")
+
+
 def manual_sections(texts: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, n, title, body) of manuals' extracted text: contents lines are dropped, numbered or shouted lines begin sections."""
-    lines = texts.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "raw")).withColumn("ln", F.trim("raw")).where(~F.col("ln").rlike("\\.{4,}\\s*\\d*$"))
-    words = F.filter(F.split("ln", "\\s+"), lambda x: x.rlike("^\\p{Lu}{3,}$"))
-    heading = (F.octet_length("ln") <= 120) & (F.col("ln").rlike("^\\d+(\\.\\d+)*\\.?\\s+\\p{Lu}") & ~F.col("ln").rlike("[.;,]$") | (F.size(words) >= 2) & ~F.col("ln").rlike("\\p{Ll}"))
+    """(doc, n, title, body) of manuals' extracted text: the contents block is dropped, headings begin sections, those without text go.
+
+    What is ahead of the first heading is called Documento; so is a text without any section, which stays as one, with what its last heading says.
+    """
+    lines = without_contents(texts.select(F.col(key).alias("doc"), F.posexplode(F.split(text, "\n")).alias("at", "raw")))
     w = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("h", heading).withColumn("n", F.sum(F.col("h").cast("int")).over(w))
+    lines = lines.withColumn("h", is_heading(F.col("raw"))).withColumn("n", F.sum(F.col("h").cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("at", "raw")))), lambda x: x.raw), "\n")
-    out = lines.groupBy("doc", "n").agg(F.regexp_replace(body, "^\\s+|\\s+$", "").alias("body"), F.min_by("ln", F.when(F.col("h"), F.col("at"))).alias("title"))
-    return out.where("n > 0").select("doc", "n", F.regexp_replace("title", "\\s+", " ").alias("title"), "body")
+    out = lines.groupBy("doc", "n").agg(F.regexp_replace(body, "^\\s+|\\s+$", "").alias("body"), F.min_by("raw", F.when(F.col("h"), F.col("at"))).alias("head"))
+    last = Window.partitionBy("doc")
+    out = out.withColumns({"full": F.max((F.col("body") != "").cast("int")).over(last), "most": F.max("n").over(last)}).where((F.col("body") != "") | (F.col("full") == 0) & (F.col("n") == F.col("most")))
+    title = F.when(F.col("head").isNull(), F.lit("Documento")).otherwise(clean_title(F.col("head")))
+    return out.select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("n")).alias("n"), title.alias("title"), "body")
 
 
 # -- office files ----------------------------------------------------------
@@ -407,6 +454,38 @@ def issues(replies: DataFrame) -> DataFrame:
     return rows.where("pull_request is null and number is not null").drop("pull_request")
 
 
+def api_documents(pages: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
+    """Endpoint documents of API pages: the id is the file's name as a slug, the title the page's or else the slug."""
+    name = F.substring_index(F.col(path), "/", -1)
+    key = slug(F.regexp_replace(name, "[.][^.]*$", ""))
+    rows = pages.select(name.alias("name"), key.alias("key"), html_title(F.col(html)).alias("head"), html_text(F.col(html)).alias("text"))
+    title = F.when(F.coalesce("head", F.lit("")) == "", F.col("key")).otherwise(F.col("head"))
+    return rows.select(F.concat(F.lit("apis/"), "key", F.lit(".md")).alias("id"), F.lit("ApiEndpoint").alias("type"), title.alias("title"), first_line(F.col("text")).alias("description"), F.concat(F.lit("# "), title, F.lit("\n\n"), "text").alias("body"), F.lit("pt").alias("language"), F.array(F.lit("api"), F.lit("dict"), F.col("key")).alias("tags"), F.concat(F.lit("apidoc:"), "name").alias("source_uri"))
+
+
+def mirror_documents(files: DataFrame, owner: str) -> DataFrame:
+    """One document for each mirrored repository of ``files`` (repo, path inside it, content): its README, and the commit that HEAD names.
+
+    HEAD is a commit, or a reference that is looked up among the loose and then the packed ones; without either the commit is blank.
+    """
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    rows = files.select("repo", "path", "content", text.alias("text"))
+    head = rows.where("path = '.git/HEAD'").select("repo", F.trim(F.regexp_replace("text", "\\s+$", "")).alias("head"))
+    loose = rows.where("startswith(path, '.git/refs/')").select("repo", F.substring("path", 6, 1000).alias("ref"), F.trim(F.regexp_replace("text", "\\s+$", "")).alias("commit"), F.lit(0).alias("packed"))
+    lines = rows.where("path = '.git/packed-refs'").select("repo", F.explode(F.split("text", "\n")).alias("ln")).where("ln rlike '^[0-9a-f]{40} '")
+    packed = lines.select("repo", F.substring("ln", 42, 1000).alias("ref"), F.substring("ln", 1, 40).alias("commit"), F.lit(1).alias("packed"))
+    refs = loose.unionByName(packed).groupBy("repo", "ref").agg(F.min_by("commit", "packed").alias("commit"))
+    named = head.withColumn("ref", F.regexp_extract("head", "^ref: (.*)$", 1)).join(refs, ["repo", "ref"], "left")
+    commits = named.select("repo", F.when(F.col("ref") == "", F.col("head")).otherwise(F.coalesce("commit", F.lit(""))).alias("commit"))
+    order = {"README.md": 0, "README": 1, "readme.md": 2, "Readme.md": 3}
+    rank = F.coalesce(*[F.when(F.col("path") == n, k) for n, k in order.items()])
+    readmes = rows.where(F.col("path").isin(*order)).groupBy("repo").agg(F.min_by("content", rank).alias("content"))
+    readme = F.regexp_replace(F.make_valid_utf8(F.substring("content", 1, README_BYTES).cast("string")), "\ufffd+$", "")
+    out = rows.select("repo").distinct().join(readmes.select("repo", readme.alias("readme")), "repo", "left").join(commits, "repo", "left")
+    name, readme = F.concat(F.lit(owner + "/"), "repo"), F.coalesce("readme", F.lit(""))
+    return out.select(F.concat(F.lit("repos/"), "repo", F.lit(".md")).alias("id"), F.lit("Repo").alias("type"), name.alias("title"), first_line(readme).alias("description"), F.concat(F.lit("# "), name, F.lit("\n\nRepository overview (staged mirror).\n\n"), readme).alias("body"), F.lit("en").alias("language"), F.array(F.lit("repo"), F.col("repo")).alias("tags"), F.concat(F.lit("git:"), name, F.lit("@"), F.coalesce("commit", F.lit(""))).alias("source_uri"))
+
+
 def readme_documents(files: DataFrame) -> DataFrame:
     """(path, body) of README files, at most README_BYTES of each."""
     raw = F.substring("content", 1, README_BYTES).cast("string")

@@ -1,11 +1,13 @@
 """A folder watched for documents, by Structured Streaming's file source.
 
 Changes that come within one trigger interval are one batch, as a debounced
-burst would be. A batch that fails is reported and the stream goes on.
+burst would be. A batch that fails is reported and the stream goes on; the paths of
+its files are kept and tried again before the next batch, until they succeed.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +23,65 @@ def watch_folder(spark: SparkSession, folder: str, glob: str = "*.md") -> DataFr
     return files.select("path", F.col("modificationTime").alias("modified"), "content")
 
 
-def on_changes(stream: DataFrame, callback: Callable[[DataFrame], None], checkpoint: str, every: str | None = "800 milliseconds", on_error: Callable[[Exception], None] | None = None):
+def failed_batches(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The paths of each batch that is still to be tried again, by its key."""
+    try:
+        rows = spark.read.schema("key string, path string, done boolean").json(f"{folder}/*")
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return {}
+        raise
+    left = rows.groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.bool_or("done").alias("done")).where("not done")  # a batch has few files
+    return {r["key"]: r["paths"] for r in left.orderBy("key").collect()}
+
+
+def _note(spark: SparkSession, folder: str, key: str, paths: DataFrame, done: bool) -> None:
+    """Keep a batch's paths, or that it has succeeded; written again it is the same."""
+    paths.select(F.lit(key).alias("key"), "path", F.lit(done).alias("done")).write.mode("overwrite").json(f"{folder}/{key}-{'done' if done else 'failed'}")
+
+
+def retry_failed(spark: SparkSession, callback: Callable[..., None], folder: str, on_error: Callable[[Exception], None] | None = None) -> int:
+    """Hand each failed batch, read again from its files, to ``callback``; returns how many succeeded. Files that have gone are left out."""
+    good = 0
+    for key, paths in failed_batches(spark, folder).items():
+        held = spark.createDataFrame([(p,) for p in paths], "path string")
+        try:
+            files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(sorted({p.rsplit("/", 1)[0] for p in paths}))
+            again = files.join(F.broadcast(held), "path", "left_semi").select("path", F.col("modificationTime").alias("modified"), "content")  # a batch has few files
+            _call(callback, again, key)
+        except Exception as e:
+            if on_error:
+                on_error(e)
+            continue
+        _note(spark, folder, key, held, True)
+        good += 1
+    return good
+
+
+def _call(callback: Callable[..., None], batch: DataFrame, key: str) -> None:
+    callback(batch, key) if len(inspect.signature(callback).parameters) > 1 else callback(batch)
+
+
+def on_changes(stream: DataFrame, callback: Callable[..., None], checkpoint: str, every: str | None = "800 milliseconds", on_error: Callable[[Exception], None] | None = None, retry: str | None = None):
     """Start a query that hands each batch of changed files to ``callback``.
 
     ``every`` None takes all there is and ends. An error in the callback goes
-    to ``on_error`` and does not stop the stream.
+    to ``on_error`` and does not stop the stream: the batch's paths are kept in the folder ``retry``
+    (below the checkpoint if not given) and tried again before the next batch. A callback of two
+    parameters gets the batch's key as well, the same at each trial, by which a write can be made once. If not even the
+    paths can be kept, the stream ends, and the batch comes again with its restart.
     """
+    folder = retry or f"{checkpoint}/retry"
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        retry_failed(spark, callback, folder, on_error)
+        if batch.isEmpty():
+            return
         try:
-            if not batch.isEmpty():
-                callback(batch)
+            _call(callback, batch, f"batch-{n:012}")
         except Exception as e:
+            _note(spark, folder, f"batch-{n:012}", batch.select("path"), False)
             if on_error:
                 on_error(e)
 
@@ -40,8 +89,8 @@ def on_changes(stream: DataFrame, callback: Callable[[DataFrame], None], checkpo
     return (writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)).start()
 
 
-def ingest_stream(stream: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, every: str | None = "800 milliseconds", on_error: Callable[[Exception], None] | None = None):
-    """Documents of each batch, parsed and handed on as (path, meta, body)."""
+def ingest_stream(stream: DataFrame, write: Callable[..., None], checkpoint: str, every: str | None = "800 milliseconds", on_error: Callable[[Exception], None] | None = None):
+    """Documents of each batch, parsed and handed on as (path, meta, body), with the batch's key if ``write`` takes two parameters."""
     import json
 
     import pandas as pd
@@ -57,7 +106,7 @@ def ingest_stream(stream: DataFrame, write: Callable[[DataFrame], None], checkpo
             yield pd.DataFrame(rows, columns=["path", "meta", "body"])
 
     parsed = lambda batch: batch.select("path", "content").mapInPandas(parse, "path string, meta string, body string")
-    return on_changes(stream, lambda batch: write(parsed(batch)), checkpoint, every, on_error)
+    return on_changes(stream, lambda batch, key: _call(write, parsed(batch), key), checkpoint, every, on_error)
 
 
 def periodic(spark: SparkSession, job: Callable[[int], None], checkpoint: str, every: str = "1 hour"):
