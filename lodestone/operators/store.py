@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..adapters import CONCEPT_SQL, concepts
 from ..plans.registry import Registry
+from ..sources.parsers import file_system
 from .relational import snapshot_diff
 from .retrieval import add_edges, embed, replace_edges
 from .temporal import record_facts, upsert_concepts, upsert_latest
@@ -312,9 +313,10 @@ def export_bundle(folder: str, archive: str) -> int:
 
 
 def append_log(folder: str, line: str) -> None:
-    """Append one line to a bundle's log."""
-    with open(Path(folder) / "log.md", "a", encoding="utf-8") as f:
-        f.write(f"- {line}\n")
+    """Append one line to a bundle's log; the folder is a path, or a URI of a file system that can append."""
+    files, base = file_system(folder)
+    with files.open_append_stream(f"{base}/log.md") as f:
+        f.write(f"- {line}\n".encode())
 
 
 def manifest_json(store: Store) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -81,17 +82,31 @@ def document_text(meta: dict, body: str) -> str:
     return "---\n" + yaml.safe_dump(meta, allow_unicode=True, sort_keys=True) + "---\n\n" + body
 
 
+def file_system(folder: str):
+    """The file system of a path or URI, and the path on it."""
+    from pathlib import Path
+
+    from pyarrow import fs
+
+    files, base = fs.FileSystem.from_uri(folder if "://" in folder else Path(folder).absolute().as_uri())
+    return files, base.rstrip("/")
+
+
 def write_bundle(docs: DataFrame, folder: str) -> None:
-    """Write (id, meta JSON, body) as files; each task writes its own rows. The folder must be one all tasks see."""
+    """Write (id, meta JSON, body) as files; each task writes its own rows, each file beside its place first, so that a task that is run again does no harm.
 
-    def run(rows):
-        import os
+    The folder is a path, or a URI of a file system that all tasks reach.
+    """
 
+    def run(rows):
+        files, base = file_system(folder)
         for r in rows:
-            path = os.path.join(folder, r["id"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as f:
-                f.write(document_text(json.loads(r["meta"]), r["body"]))
+            path = f"{base}/{r['id']}"
+            files.create_dir(path.rpartition("/")[0], recursive=True)
+            part = f"{path}.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(part) as f:
+                f.write(document_text(json.loads(r["meta"]), r["body"]).encode())
+            files.move(part, path)
 
     docs.select("id", "meta", "body").foreachPartition(run)
 

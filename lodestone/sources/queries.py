@@ -33,7 +33,7 @@ def _file(name, make, sql):
 _STR = "﻿ISPB,Nome_Reduzido,Número_Código,Participa_da_Compe,Acesso_Principal,Nome_Extenso,Início_da_Operação\n00000000,BCO DO BRASIL,001,Sim,RSFN,Banco do Brasil S.A.,22/04/2002\n3456,COOP X,n/a,Não,RSFN,Cooperativa X,01/13/2002\nabc,RUIM,1,Sim,RSFN,Ruim,01/01/2000"
 _values("S24_registry_csv", lambda s: P.registry_csv(_lines(s, _STR)), "SELECT * FROM (VALUES ('00000000', 'BCO DO BRASIL', 'Banco do Brasil S.A.', '001', DATE '2002-04-22'), ('00003456', 'COOP X', 'Cooperativa X', '', NULL)) t(ispb, name, legal_name, bank_code, started)")
 _PIX = "Lista de participantes\n(n);ISPB;Nome Reduzido;CNPJ;Autorizada pelo BCB\n1;360305;CAIXA;00.360.305/0001-04;Sim\n2;99999999;CRÉDITO;;Não\n(n);ISPB;Nome Reduzido;CNPJ;Autorizada pelo BCB\n3;11111111;FORA;;Sim"
-_file("S25_secondary_registry", lambda s: P.secondary_registry(s.createDataFrame([(bytearray(_PIX.encode("cp1252")),)], "content binary")), "SELECT * FROM (VALUES ('00360305', 'CAIXA', '00360305000104', true), ('99999999', 'CRÉDITO', '', false)) t(ispb, name, cnpj, authorized)")
+_values("S25_secondary_registry", lambda s: P.secondary_registry(s.createDataFrame([(bytearray(_PIX.encode("cp1252")),)], "content binary")), "SELECT * FROM (VALUES ('00360305', 'CAIXA', '00360305000104', true), ('99999999', 'CRÉDITO', '', false)) t(ispb, name, cnpj, authorized)")
 _values("S26_newest_file", lambda s: P.newest_dated_file(s.createDataFrame([("p-20240101.csv",), ("p-20240315.csv",), ("p-x.csv",)], "path string")), "SELECT 'p-20240315.csv' AS path")
 _values("S27_series_json", lambda s: P.series_points(s.createDataFrame([('[{"data":"02/01/2024","valor":"11.75"},{"data":"x","valor":"1"},{"data":"03/01/2024","valor":"a"},{"data":"04/01/2024","valor":"-0.5"}]',)], "value string"), "432"), "SELECT * FROM (VALUES ('432', DATE '2024-01-02', '11.75'), ('432', DATE '2024-01-04', '-0.5')) t(series_code, point_date, value)")
 _values("S28_history_merge", lambda s: P.merge_history(s.createDataFrame([("1", "2020-01-01", "a", 0), ("1", "2020-01-01", "b", 1), ("1", "2019-01-01", "c", 0)], "series_code string, point_date string, value string, window_no int")), "SELECT * FROM (VALUES ('1', '2019-01-01', 'c'), ('1', '2020-01-01', 'b')) t(series_code, point_date, value)")
@@ -42,15 +42,15 @@ _values("S30_tsv_cases", lambda s: P.tsv_cases(_lines(s, "# head\n\nq one\ta.md,
 _values("S31_feedback", lambda s: P.feedback(_lines(s, '{"question":"q","vote":1}\nbroken\n{"vote":2}')).select("question", "vote"), "SELECT 'q' AS question, 1 AS vote")
 _values("M10_concept_intake", lambda s: P.concept_intake(s.createDataFrame([('{"concepts":[{"id":"a","type":"T","title":"X","lang":"en"}]}',), ('[{"id":"b","type":"T","title":"Y","body":"# Y","lang":"fr"},{"id":"c"}]',), ('{"id":"d","type":"T","title":"Z","body":"t"}',)], "value string")).select("id", "body", "lang"), "SELECT * FROM (VALUES ('a', '# X' || chr(10) || chr(10), 'en'), ('b', '# Y', 'pt'), ('d', '# Z' || chr(10) || chr(10) || 't', 'pt')) t(id, body, lang)")
 _LAW = "LEI Nº 1\nDispõe.\nLIVRO I\nDAS COISAS\nCAPÍTULO II\nArt.\n1º Um.\n§ 1º Dois.\nSEÇÃO ÚNICA\nArt. 2º-A Três.\nCAPÍTULO III\nArt. 3 Quatro.\nANEXO I\nCAPÍTULO X\nTabela"
-_file("S11_statute_sections", lambda s: P.statute_sections(s.createDataFrame([("l", _LAW)], "doc string, text string")).select("kind", "number", "livro", "capitulo", "secao", F.length("body").cast("long").alias("n")), "SELECT kind, number, livro, capitulo, secao, n::BIGINT AS n FROM (VALUES ('ementa', '', '', '', '', 16), ('article', '1º', 'I', 'II', '', 22), ('article', '2º-A', 'I', 'II', 'ÚNICA', 15), ('article', '3', 'I', 'III', '', 14), ('anexo', 'I', '', '', '', 17)) t(kind, number, livro, capitulo, secao, n)")
-_file("S12_statute_ids", lambda s: P.statute_ids(P.statute_sections(s.createDataFrame([("l", "Art. 1º A\nArt. 1º B\nArt. 31-A C")], "doc string, text string"))).select("id"), "SELECT unnest(['l/art-0001.md', 'l/art-0001-dup2.md', 'l/art-0031-a.md']) AS id")
+_values("S11_statute_sections", lambda s: P.statute_sections(s.createDataFrame([("l", _LAW)], "doc string, text string")).select("kind", "number", "livro", "capitulo", "secao", F.length("body").cast("long").alias("n")), "SELECT kind, number, livro, capitulo, secao, n::BIGINT AS n FROM (VALUES ('ementa', '', '', '', '', 16), ('article', '1º', 'I', 'II', '', 22), ('article', '2º-A', 'I', 'II', 'ÚNICA', 15), ('article', '3', 'I', 'III', '', 14), ('anexo', 'I', '', '', '', 17)) t(kind, number, livro, capitulo, secao, n)")
+_values("S12_statute_ids", lambda s: P.statute_ids(P.statute_sections(s.createDataFrame([("l", "Art. 1º A\nArt. 1º B\nArt. 31-A C")], "doc string, text string"))).select("id"), "SELECT unnest(['l/art-0001.md', 'l/art-0001-dup2.md', 'l/art-0031-a.md']) AS id")
 _values("S14_markdown_sections", lambda s: P.markdown_sections(s.createDataFrame([("m", "# Doc\nlead\n<!-- rev:3 -->\n## One\na\nb\n## Two\n")], "doc string, text string")).select("doc_title", "title", "body"), "SELECT * FROM (VALUES ('Doc', 'Overview', 'lead'), ('Doc', 'One', 'a' || chr(10) || 'b'), ('Doc', 'Two', '')) t(doc_title, title, body)")
 _values("S10_manual_sections", lambda s: P.manual_sections(s.createDataFrame([("m", "1 Sumário ........ 3\n1. Objetivo\ntexto um\nREGRAS GERAIS\ntexto dois")], "doc string, text string")).select("title", "body"), "SELECT * FROM (VALUES ('1. Objetivo', 'texto um'), ('REGRAS GERAIS', 'texto dois')) t(title, body)")
 _SPEC = b"openapi: 3.0.0\npaths:\n  /cob/{txid}:\n    put:\n      summary: Criar\n      parameters:\n        - {name: txid, in: path}\n      responses: {'201': {}, '400': {}}\n    get: {summary: Ler}\n"
-_file("S17_openapi_endpoints", lambda s: P.endpoints(s.createDataFrame([("a.yaml", bytearray(_SPEC)), ("b.yaml", bytearray(b"{: bad"))], "name string, content binary")).select("title", "summary", F.array_join("responses", ",").alias("responses")), "SELECT * FROM (VALUES ('GET /cob/{txid}', 'Ler', ''), ('PUT /cob/{txid}', 'Criar', '201,400')) t(title, summary, responses)")
+_values("S17_openapi_endpoints", lambda s: P.endpoints(s.createDataFrame([("a.yaml", bytearray(_SPEC)), ("b.yaml", bytearray(b"{: bad"))], "name string, content binary")).select("title", "summary", F.array_join("responses", ",").alias("responses")), "SELECT * FROM (VALUES ('GET /cob/{txid}', 'Ler', ''), ('PUT /cob/{txid}', 'Criar', '201,400')) t(title, summary, responses)")
 _values("S18_intent_phrases", lambda s: P.intent_phrases(s.createDataFrame([("POST /cob",), ("GET /xyz/1",), ("odd",)], "title string")), "SELECT * FROM (VALUES ('POST /cob', 'criar cobrança imediata, gerar cobrança imediata, cadastrar cobrança imediata'), ('GET /xyz/1', 'consultar xyz, obter xyz, listar xyz'), ('odd', '')) t(title, intent_terms)")
 _values("S21_issues", lambda s: P.issues(s.createDataFrame([('[{"number":1,"title":"a"},{"number":2,"title":"b","pull_request":{"url":"u"}}]',), ("broken",)], "value string")).select("number", "title"), "SELECT 1::BIGINT AS number, 'a' AS title")
-_file("S23_inbox_routes", lambda s: P.inbox_routes(s.createDataFrame([("a.yaml", bytearray(_SPEC)), ("b.md", bytearray(b"x")), ("c.bin", bytearray(b"x")), ("d.json", bytearray(b"{}"))], "name string, content binary")).select("name", "route"), "SELECT * FROM (VALUES ('a.yaml', 'openapi'), ('b.md', 'markdown'), ('c.bin', 'attachment'), ('d.json', 'text')) t(name, route)")
+_values("S23_inbox_routes", lambda s: P.inbox_routes(s.createDataFrame([("a.yaml", bytearray(_SPEC)), ("b.md", bytearray(b"x")), ("c.bin", bytearray(b"x")), ("d.json", bytearray(b"{}"))], "name string, content binary")).select("name", "route"), "SELECT * FROM (VALUES ('a.yaml', 'openapi'), ('b.md', 'markdown'), ('c.bin', 'attachment'), ('d.json', 'text')) t(name, route)")
 _values("S06_folder_indexes", lambda s: P.folder_indexes(s.createDataFrame([("a/b/x.md",), ("a/y.md",), ("z.md",)], "id string")).select("folder", F.array_join("children", ",").alias("children"), F.array_join("subfolders", ",").alias("subfolders")), "SELECT * FROM (VALUES ('', 'z.md', 'a'), ('a', 'y.md', 'b'), ('a/b', 'x.md', '')) t(folder, children, subfolders)")
 _values("S05_stale_documents", lambda s: P.stale_documents(s.createDataFrame([("a.md",), ("b.md",), ("README.md",)], "id string"), s.createDataFrame([("a.md",)], "id string")), "SELECT 'b.md' AS id")
 
@@ -207,4 +207,40 @@ def s19(spark, d):
     return P.api_documents(pages).select("id", "title", F.md5(F.col("body").cast("binary")).alias("sha"))
 
 
+@query("S11_statute_sections", f"""WITH {CONCEPT_SQL}, x AS (SELECT id AS doc, {_k} AS k, unnest(range(5)) AS i FROM concept)
+SELECT doc, (['ementa', 'article', 'article', 'article', 'anexo'])[i + 1] AS kind, (['', '1º', '2º-A', '3', 'I'])[i + 1] AS number, (['', 'I', 'I', 'I', ''])[i + 1] AS livro, (['', 'II', 'II', 'III', ''])[i + 1] AS capitulo, (['', '', 'ÚNICA', '', ''])[i + 1] AS secao, (CASE WHEN i = 0 THEN 15 + length(k::VARCHAR) ELSE ([0, 22, 15, 14, 17])[i + 1] END)::BIGINT AS n FROM x""")
+def s11(spark, d):
+    texts = concepts(spark, d).select(F.col("id").alias("doc"), _text("LEI Nº ", _K(), _LAW.removeprefix("LEI Nº 1")).alias("text"))
+    return P.statute_sections(texts).select("doc", "kind", "number", "livro", "capitulo", "secao", F.length("body").cast("long").alias("n"))
+
+
+@query("S12_statute_ids", f"WITH {CONCEPT_SQL} SELECT unnest([id || '/art-' || lpad(({_k} % 90 + 1)::VARCHAR, 4, '0') || '.md', id || '/art-' || lpad(({_k} % 90 + 1)::VARCHAR, 4, '0') || '-dup2.md', id || '/art-0131-a.md']) AS id FROM concept")
+def s12(spark, d):
+    texts = concepts(spark, d).select(F.col("id").alias("doc"), _text("Art. ", _K() % 90 + 1, "º A\nArt. ", _K() % 90 + 1, "º B\nArt. 131-A C").alias("text"))
+    return P.statute_ids(P.statute_sections(texts)).select("id")
+
+
+@query("S17_openapi_endpoints", "WITH x AS (SELECT s_suppkey, unnest(range(2)) AS i FROM supplier WHERE s_suppkey % 6 <> 0) SELECT CASE i WHEN 0 THEN 'GET' ELSE 'PUT' END || ' /s' || s_suppkey || '/{id}' AS title, CASE i WHEN 0 THEN 'Ler' ELSE 'Criar ' || s_suppkey END AS summary, CASE i WHEN 0 THEN '' ELSE '201,400' END AS responses FROM x")
+def s17(spark, d):
+    k = _c("s_suppkey")
+    spec = _text("openapi: 3.0.0\npaths:\n  /s", k, "/{id}:\n    put:\n      summary: Criar ", k, "\n      responses: {'201': {}, '400': {}}\n    get: {summary: Ler}\n")
+    files = table(spark, d, "supplier").select(_text("f", k, ".yaml").alias("name"), F.encode(F.when(k % 6 == 0, "{: bad").otherwise(spec), "UTF-8").alias("content"))
+    return P.endpoints(files).select("title", "summary", F.array_join("responses", ",").alias("responses"))
+
+
+@query("S23_inbox_routes", f"WITH {CONCEPT_SQL} SELECT {_k} || (['.yaml', '.md', '.bin', '.json'])[{_k} % 4 + 1] AS name, (['openapi', 'markdown', 'attachment', 'text'])[{_k} % 4 + 1] AS route FROM concept")
+def s23(spark, d):
+    pick = lambda *x: F.get(F.array(*map(F.lit, x)), (_K() % 4).cast("int"))
+    files = concepts(spark, d).select(_text(_K(), pick(".yaml", ".md", ".bin", ".json")).alias("name"), F.encode(pick(_SPEC.decode(), "x", "x", "{}"), "UTF-8").alias("content"))
+    return P.inbox_routes(files).select("name", "route")
+
+
+@query("S25_secondary_registry", "SELECT lpad(s_suppkey::VARCHAR, 8, '0') AS ispb, s_name || ' CRÉDITO' AS name, CASE WHEN s_suppkey % 2 = 0 THEN lpad(s_suppkey::VARCHAR, 14, '0') ELSE '' END AS cnpj, s_suppkey % 3 = 0 AS authorized FROM supplier")
+def s25(spark, d):
+    """A file of each supplier, with a second table that does not count."""
+    k, head = _c("s_suppkey"), "(n);ISPB;Nome Reduzido;CNPJ;Autorizada pelo BCB\n"
+    text = _text("Lista de participantes\n", head, "1;", k, ";", _c("s_name"), " CRÉDITO;", F.when(k % 2 == 0, F.lpad(k.cast("string"), 14, "0")).otherwise(""), ";", F.when(k % 3 == 0, "Sim").otherwise("Não"), "\n", head, "2;11111111;FORA;;Sim")
+    return P.secondary_registry(table(spark, d, "supplier").select(F.encode(text, "ISO-8859-1").alias("content")))
+
+
 QUERIES, SQL = registry.queries, registry.sql

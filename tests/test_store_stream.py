@@ -137,3 +137,34 @@ def test_message_bodies(spark):
     assert hashlib.sha256(body.encode()).hexdigest() == hashlib.sha256(want.encode()).hexdigest()
     bare = S.message_catalogue(spark, [("x.1", "x", "T", "S", "", (), ())]).first()
     assert bare["body"] == "# x.1 — T\n\nS\n\n" and bare["type"] == "IsoMessage"
+
+
+def test_log_and_export(spark, tmp_path):
+    import tarfile
+
+    from lodestone.sources import parsers
+
+    folder = tmp_path / "b"
+    docs = spark.createDataFrame([("x/a.md", '{"t": 1}', "A é"), ("b.md", "{}", "B")], "id string, meta string, body string")
+    for _ in range(2):
+        parsers.write_bundle(docs, folder.as_uri())
+    S.append_log(str(folder), "one")
+    S.append_log(folder.as_uri(), "twö")
+    assert (folder / "log.md").read_text(encoding="utf-8") == "- one\n- twö\n"
+    (folder / ".git").mkdir()
+    (folder / ".git" / "HEAD").write_text("x")
+    assert S.export_bundle(str(folder), str(tmp_path / "b.tgz")) == 3
+    with tarfile.open(tmp_path / "b.tgz") as t:
+        assert sorted(t.getnames()) == ["b.md", "log.md", "x/a.md"]
+    assert (folder / "x" / "a.md").read_text(encoding="utf-8").endswith("A é")
+
+
+def test_periodic_job_runs_one_at_a_time_after_an_interval(spark, tmp_path):
+    import time
+
+    runs, began = [], time.time()
+    query = watch.periodic(spark, lambda n: runs.append((n, time.time())), str(tmp_path / "p"), every="1 second")
+    while len(runs) < 2 and time.time() - began < 60:
+        time.sleep(0.2)
+    query.stop()
+    assert len(runs) >= 2 and runs[0][0] > 0 and runs[0][1] - began > 0.5
