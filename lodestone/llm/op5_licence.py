@@ -11,7 +11,8 @@ the sparse weights in a broadcast join, and its score is their sum. Scores becom
 some wordings and made-up names gets on those; below MIN_PROBABILITY a paragraph
 is of the unknown class. A prediction counts as confirmed if enough of the
 trigrams that a template of the family shares with no other family, and with no
-made-up licence, are in the paragraph.
+made-up licence, are in the paragraph, and if the versions and terms that it names
+are the family's: words alone do not tell Apache 1.1 from 2.0.
 
 On executors everything is DataFrame operations; only paragraphs with an anchor
 are shuffled.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,11 @@ NAMES = "harbor lantern copper meadow saffron quartz willow falcon ember juniper
 #: Everyday words that stop-word lists lack: never anchors.
 COMMON = "a all and any as at be by can for from free found he his if in is it its may met no not of on one only option or other part people person provided public published the that then there this to use used was with without work you your above after following kind law either later more most each mit sa nc v 1 2 3 1.0 2.0 2.1 3.0 4.0".split()
 WORD = "[a-z0-9]+(?:\\.[0-9]+)*"
+#: The versions of families that have one, and how a paragraph names a version: behind the word licence or a family's name.
+VERSIONS = {"AGPL-3.0": ("3", "3.0"), "Apache-2.0": ("2", "2.0"), "Artistic-2.0": ("2", "2.0"), "CC0": ("1", "1.0"), "CDDL-1.0": ("1", "1.0"), "MPL-2.0": ("2", "2.0"), "OFL-1.1": ("1.1",), "Python-2.0": ("2", "2.0")}
+VERSION = "(?:licen[sc]e|agpl|apache|artistic|cc0|cddl|mpl|ofl|psf)[\\s,]*(?:version|v\\.?)?[\\s,/-]*v?([0-9]+(?:\\.[0-9]+)*)"
+#: Terms that make a licence another one.
+OTHER_TERMS = {"CC-BY": "nc|noncommercial|sa|sharealike|nd|noderiv[a-z]*", "CC-BY-NC": "sa|sharealike|nd|noderiv[a-z]*", "CC-BY-SA": "nc|noncommercial|nd|noderiv[a-z]*"}
 #: A line end inside a sentence, with the next line's comment mark.
 WRAPPED = "(?<=[^\\s.!?:;])[ \\t]*\\r?\\n[ \\t]*(?:#+|//+|\\*+|--+|;+)?[ \\t]*(?=[^\\s#*/;])"
 
@@ -163,7 +169,10 @@ def own_trigrams() -> dict[tuple[str, int], set[str]]:
 
 
 def classify(texts: DataFrame, text_col: str = "paragraph_text") -> DataFrame:
-    """(text, family, probability, shared) for each row of distinct lower-cased paragraphs with an anchor."""
+    """(text, family, probability, shared, fits) for each row of distinct lower-cased paragraphs with an anchor.
+
+    fits is false where the paragraph names versions, none of which is the family's, or a term that the family lacks.
+    """
     spark = texts.sparkSession
     families, _, weights, bias, temperature = trained()
     run = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda k: F.array_join(F.slice("words", k, n), " "))).otherwise(F.array().cast("array<string>"))
@@ -180,7 +189,10 @@ def classify(texts: DataFrame, text_col: str = "paragraph_text") -> DataFrame:
     known = F.broadcast(spark.createDataFrame(known, "family string, template int, gram string, size int"))
     both = found.select("t", "family", F.size("threes").alias("own"), F.explode("threes").alias("gram")).join(known, ["family", "gram"]).groupBy("t", "template", "own", "size").agg(F.count("*").alias("n"))
     shared = both.groupBy("t").agg(F.max(F.col("n") / F.least("own", "size")).alias("shared"))
-    return found.join(shared, "t", "left").select(F.col("t").alias(text_col), "family", "probability", F.coalesce("shared", F.lit(0.0)).alias("shared"))
+    named = F.regexp_extract_all("t", F.lit(VERSION), F.lit(1))
+    other = [(F.col("family") == x) & (F.size(named) > 0) & ~F.arrays_overlap(named, F.array(*map(F.lit, own))) for x, own in VERSIONS.items()]
+    other += [(F.col("family") == x) & F.col("t").rlike(f"(?<![a-z0-9])(?:{terms})(?![a-z0-9])") for x, terms in OTHER_TERMS.items()]
+    return found.join(shared, "t", "left").select(F.col("t").alias(text_col), "family", "probability", F.coalesce("shared", F.lit(0.0)).alias("shared"), (~reduce(lambda a, b: a | b, other)).alias("fits"))
 
 
 def anchored_paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -198,16 +210,16 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Paragraphs are lines, joined where one is wrapped. ``licences`` lists, for each paragraph whose
     likeliest class is a family, struct(paragraph, family, probability, shared,
     confirmed), in order; it is confirmed with ``min_probability`` and
-    ``min_shared``, else it counts in n_unknown. family and probability are
+    ``min_shared`` if its versions and terms fit, else it counts in n_unknown. family and probability are
     those of the likeliest confirmed one (of equals, the first family in
-    order), or 'none'. Null and empty texts have none. Rows that share an id
+    order), or 'none'. Null and empty texts have none, texts of any length are read whole, and other columns, whatever their names, are not read. Rows that share an id
     share their paragraphs; rows without an id have none; empty tables give an
     empty result.
     """
     lines = cut(anchored_paragraphs(docs, id_col, text_col))
     classes = cut(classify(lines.select("paragraph_text").distinct()))
     seen = lines.join(classes, "paragraph_text").where(F.col("family") != UNKNOWN)
-    confirmed = (F.col("probability") >= min_probability) & (F.col("shared") >= min_shared)
+    confirmed = (F.col("probability") >= min_probability) & (F.col("shared") >= min_shared) & F.col("fits")
     licence = F.struct("paragraph", "family", "probability", "shared", confirmed.alias("confirmed"))
     best = F.min_by(F.struct("family", "probability"), F.when(confirmed, F.struct(-F.col("probability"), "family")))
     found = seen.groupBy("_id").agg(F.array_sort(F.collect_list(licence)).alias("licences"), best.alias("best"), F.count_if(confirmed).alias("n_confirmed"), F.count_if(~confirmed).alias("n_unknown"))  # one document's own lines

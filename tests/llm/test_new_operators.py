@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import op11_merkle, op12_urls, op13_infill
+from lodestone.llm import op5_licence, op11_merkle, op12_urls, op13_infill
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -227,3 +227,39 @@ def test_op13_index_has_a_row_for_each_distinct_text(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(["a\nb", "a\nb", "c", None, "", "c"] * 20)], "doc_id long, text string").repartition(6)
     index = op13_infill.distinct_index(op13_infill.keyed(docs, "doc_id", "text")).collect()
     assert sorted((r["size"], r["n"]) for r in index) == [(0, 0), (1, 1), (3, 2)]
+
+
+# -- 5 -------------------------------------------------------------------------
+
+
+def test_op5_versions_and_terms_decide(spark):
+    other = ["Licensed under the Apache License, Version 1.1", "Apache-1.1", "Licensed under the Mozilla Public License 1.1", "Released under MPL v1.1", "Released under the Artistic License 1.0", "This work is licensed under CC BY-NC-SA 4.0", "Available under the CC BY-ND 3.0 license", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"]
+    own = [("Licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Tool version 1.1, licensed under the Apache License, Version 2.0", "Apache-2.0"), ("Licensed under the Mozilla Public License 2.0", "MPL-2.0"), ("Released under the Artistic License 2.0", "Artistic-2.0"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA"), ("Licensed under CC BY 4.0", "CC-BY"), ("Licensed under the GNU General Public License version 2", "GPL")]
+    docs = spark.createDataFrame([(k, t, "c", 1.0) for k, t in enumerate([*other, *(t for t, _ in own)])], "doc_id long, text string, family string, probability double").drop("probability")
+    got = [r["family"] for r in op5_licence.scan_licences(docs).orderBy("doc_id").collect()]
+    assert got == ["none"] * len(other) + [f for _, f in own]
+
+
+# -- 3 -------------------------------------------------------------------------
+
+
+def test_op3_threshold_and_kept_by_every_cut(spark):
+    """The threshold against the balanced accuracy of every cut; rows at it and repeated rows are kept or not by their score."""
+    from lodestone.llm import op3_quality
+
+    rng = random.Random(9)
+    rows = [(k / 400 - 0.3 + rng.random() * 0.4, int(rng.random() < k / 200), rng.random() < 0.1) for k in range(200)] + [(50.0, 1, False), (-50.0, 0, False)] * 2
+    df = spark.createDataFrame(rows, "score double, quality int, base_failed boolean")
+    least = op3_quality.best_threshold(df, step=0.005)
+    held = [(np.floor(np.clip(s, -10, 10) / 0.005), q) for s, q, failed in rows if not failed]
+    good, bad = sum(q for _, q in held), sum(1 - q for _, q in held)
+    worth = lambda b: sum(q for s, q in held if s >= b) / good + sum(1 - q for s, q in held if s < b) / bad
+    best = max(worth(b) for b in range(-2001, 2003))
+    assert worth(round(least / 0.005)) == pytest.approx(best)
+    docs = [(k, " ".join(rng.choices(["good", "fine", "well"] if k % 3 else ["bad", "junk", "spam"], k=40)) + f" w{k}" * (k % 2)) for k in range(60)]
+    docs += docs[:5] + [(60, None), (61, "")]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    got = op3_quality.quality(spark.createDataFrame([(k, t, 1, "c") for k, t in docs], "doc_id long, text string, score int, kept string"), labels).collect()
+    assert len(got) == len(docs) and all(r["kept"] == (not r["base_failed"] and r["score"] >= r["threshold"]) for r in got)
+    assert {r["doc_id"] for r in got if r["score"] >= r["threshold"]} >= {k for k, _ in docs[:60] if k % 3}
+    assert not {r["doc_id"] for r in got if r["score"] >= r["threshold"]} & {k for k, _ in docs[:40] if k % 3 == 0}
