@@ -165,3 +165,22 @@ def test_hashed_vectors_are_those_of_the_loop():
     rng = random.Random(3)
     texts = ["", "ab", "abc", "ÀÉÎ", "日本語テキスト", "a😀b😀c"] + ["".join(rng.choices("abcdefg éçß日😀\n", k=rng.randint(0, 80))) for _ in range(1000)]
     assert np.array_equal(retrieval.hash_rows(texts, 37), np.stack([loop(t, 37) for t in texts]))
+
+
+def test_words_in_place_are_found_as_by_postings(spark):
+    r = random.Random(5)
+    words = ["ação", "ações", "pix", "chave", "chaves", "de", "webhook", "red", "reds", "or1"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(r.randrange(n)))
+    df = rows_of(spark, *[(str(k), "t", text(4), text(3), text(30), r.choice(["en", "pt", None])) for k in range(60)], ("x", "t", None, None, None, None))
+    questions = asked(spark, "pix", "ação chave", '"pix chave"', '"chave de pix" or red webhook', "red -pix", "pix -chaves or ação red", "-red", "", "reds chaves", "pix")
+    for stemmed in (False, True):
+        old, new = (sorted((h["q"], h["id"], round(h["score"], 8), h["rank"]) for h in search.lexical_many(rows, questions, 7, stemmed).collect()) for rows in (search.postings(df), search.word_rows(df)))
+        assert old == new and len({h[0] for h in new}) >= 7
+
+
+def test_words_in_place_are_not_shuffled(spark):
+    df = rows_of(spark, *[(str(k), "t", "", "", "pix chave " * 50, "pt") for k in range(300)])
+    found = search.lexical_many(search.word_rows(df), asked(spark, "pix", "chave"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Explode" not in plan
+    assert [h["id"] for h in found.where("q = 0").orderBy("rank").collect()] == ["0", "1", "10"]
