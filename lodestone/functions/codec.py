@@ -66,8 +66,8 @@ def parse_code(code: str | None) -> dict:
         return out | {"error": str(e)}
     text = lambda b: b.decode(errors="replace")
     out |= {"dynamic": first(top, "01") == b"12", "merchant_name": text(first(top, "59")), "city": text(first(top, "60")), "amount": text(first(top, "54")), "key": text(first(account, "01")), "url": text(first(account, "25")), "description": text(first(account, "02")), "txid": text(first(more, "05")), "crc": text(first(top, "63")).upper()}
-    at = raw.rfind(b"6304")
-    return out | {"crc_valid": at >= 0 and out["crc"] == f"{crc16(raw[: at + 4]):04X}"}
+    at = len(raw) - 8  # the CRC is the last field; its own digits may read 6304
+    return out | {"crc_valid": top[-1:] != [] and top[-1][0] == "63" and raw[at : at + 4] == b"6304" and out["crc"] == f"{crc16(raw[: at + 4]):04X}"}
 
 
 @F.pandas_udf(PAYLOAD)
