@@ -23,7 +23,7 @@ from ..plans.registry import Registry
 from ..sources.parsers import file_system
 from .relational import snapshot_diff
 from .retrieval import add_edges, embed, replace_edges
-from .temporal import record_facts, upsert_concepts, upsert_latest
+from .temporal import record_facts, replace_concepts, upsert_concepts
 
 registry = Registry()
 query = registry
@@ -180,7 +180,7 @@ class Store:
     def read(self, name: str, number: int | None = None) -> DataFrame:
         """A table as of a commit, the last one if none is given."""
         path = self.versions(number).get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{path}") if path else self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{path}") if path else schemas.empty(self.spark, TABLES[name])
 
     def write(self, tables: dict[str, DataFrame], base: int | None = None, key: str | None = None) -> int:
         """Write the tables as new files, then commit all of them at once on top of ``base``, the commit that they were made from. Returns its number."""
@@ -230,14 +230,14 @@ def _rows(batch: DataFrame, n: int, clock) -> DataFrame:
 
 def _apply(store: Store, batch: DataFrame, links: DataFrame | None, clock, keep_others: bool, dim: int, key: str | None = None, anew: bool = False) -> DataFrame:
     base = store.latest()
-    old = {name: store.spark.createDataFrame([], schema) if anew else store.read(name, base) for name, schema in TABLES.items()}
+    old = {name: schemas.empty(store.spark, schema) if anew else store.read(name, base) for name, schema in TABLES.items()}
     n = 0 if anew else store.next_epoch(base)
     new = schemas.require_unique(_rows(batch, n, clock), "id")
-    merged = upsert_concepts(old["concept"], new)
-    if not keep_others:
-        merged = merged.join(new.select("id"), "id", "left_semi").select(merged.columns)
+    merged = (upsert_concepts if keep_others else replace_concepts)(old["concept"], new)
     vectors = embed(new, F.concat_ws(" ", "title", "intent_terms", "body"), dim).select("id", F.lit(n).alias("epoch"), F.lit(f"hash-{dim}").alias("embed_model"), "dim", "vec")
-    embedding = upsert_latest(old["embedding"], vectors, "id", "epoch")
+    again = F.coalesce(F.col("epoch") == n, F.lit(False))  # old vectors of this epoch, mostly none, go where there is a new one
+    others = old["embedding"].where(~again).unionByName(old["embedding"].where(again).join(new.select("id"), "id", "left_anti"))
+    embedding = others.unionByName(vectors)
     facts = record_facts(old["fact"], new.select("id", F.lit(n).alias("epoch"), "type", "content_sha", F.col("updated_at").alias("valid_from")), clock)
     epoch = old["epoch"].unionByName(store.spark.range(1).select(F.lit(n).cast("int").alias("n"), clock.alias("created_at"), F.lit("").alias("commit")))
     edge = replace_edges(old["edge"], links) if links is not None else old["edge"]

@@ -72,14 +72,26 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, Colu
     return o.join(n, keys, "full_outer").select(*keys, *columns).select(old.columns)
 
 
-def upsert_concepts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """First and last epoch widen, the rest is overwritten; '' as domain reads as pix, '' as norm_ref as null."""
-    rules = {"first_epoch": F.least("o.first_epoch", "n.first_epoch"), "last_epoch": F.greatest("o.last_epoch", "n.last_epoch")}
+def _filled(new: DataFrame) -> DataFrame:
+    """Rows to be merged: '' as domain reads as pix, '' as norm_ref as null."""
     if "domain" in new.columns:
         new = new.withColumn("domain", F.when(F.coalesce("domain", F.lit("")) == "", "pix").otherwise(F.col("domain")))
     if "norm_ref" in new.columns:
         new = new.withColumn("norm_ref", F.when(F.col("norm_ref") != "", F.col("norm_ref")))
-    return merge(old, new, ["id"], rules)
+    return new
+
+
+def upsert_concepts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """First and last epoch widen, the rest is overwritten; '' as domain reads as pix, '' as norm_ref as null."""
+    rules = {"first_epoch": F.least("o.first_epoch", "n.first_epoch"), "last_epoch": F.greatest("o.last_epoch", "n.last_epoch")}
+    return merge(old, _filled(new), ["id"], rules)
+
+
+def replace_concepts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``upsert_concepts`` that are in ``new``: of the old ones only the epochs are read."""
+    epochs = old.select("id", F.col("first_epoch").alias("_first"), F.col("last_epoch").alias("_last"))
+    rows = _filled(new).join(epochs, "id", "left")
+    return rows.withColumns({"first_epoch": F.least("_first", "first_epoch"), "last_epoch": F.greatest("_last", "last_epoch")}).select(old.columns)
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:

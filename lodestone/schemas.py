@@ -26,6 +26,11 @@ class ConstraintError(ValueError):
     """A write that would break a key or another constraint."""
 
 
+def empty(spark, schema: T.StructType) -> DataFrame:
+    """No rows of a schema, known as such when a query is planned: a join with it moves nothing."""
+    return spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def require_unique(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` if no two rows share the keys, else ConstraintError naming one."""
     twice = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
