@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .session import cut, read
+from .session import cut, lean, read
 
 
 def fingerprint_of(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(2).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([fingerprint_of(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in texts], pa.int64())], ["id", "h", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, h long, fp long")
+    return docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, h long, fp long")
 
 
 def text_hash(text: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import cut, fresh_name, read, release
+from .session import cut, fresh_name, lean, read, release
 from .textkit import U64, Slab, chained, mix, slabs
 
 RADIUS = 4
@@ -151,7 +151,7 @@ def near_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * BANDS, pa.int32()), _signed(bands.ravel()))
                     yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[first] + slab.lo)), _signed(key), pa.array(first - start), pa.array(last - start), flat], ["id", "h", "b", "e", "bands"])
 
-    lines = cut(texts.mapInArrow(run, "id long, h long, b long, e long, bands array<long>"))
+    lines = cut(texts.mapInArrow(lean(run), "id long, h long, b long, e long, bands array<long>"))
     keys = lines.groupBy("h").agg(F.any_value("bands").alias("bands")).select("h", F.explode("bands").alias("key"))
     sizes = cut(keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi"))
     big = cut(keys.join(sizes.where("n > 3").select("key", "n"), "key"))
@@ -228,7 +228,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 key = short_paragraphs(slab)[4]
                 yield pa.RecordBatch.from_arrays([_signed(key)], ["h"])
 
-    counted = cut(texts.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    counted = cut(texts.mapInArrow(lean(hashes), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     short_bits = bitmap(counted, "h")
     lines, pairs, crowded = near_lines(texts)
     line_bits = bitmap(pairs.select(F.explode(F.array("h", "other")).alias("h")), "h")
@@ -271,7 +271,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc[first[hit]] + slab.lo)), _signed(key[hit]), none, none, pa.nulls(len(hit), pa.list_(pa.int64())), empty, empty, empty, listed], names)
 
     names = ["id", "h", "lo", "hi", "keys", "b", "e", "words", "shingles"]
-    found = cut(texts.mapInArrow(seen, "id long, h long, lo long, hi long, keys array<long>, b array<int>, e array<int>, words array<int>, shingles array<int>"))
+    found = cut(texts.mapInArrow(lean(seen), "id long, h long, lo long, hi long, keys array<long>, b array<int>, e array<int>, words array<int>, shingles array<int>"))
     shingles = cut(found.where("shingles is not null").select("h", "shingles"))
     runs = _true_runs(found.where("shingles is null").drop("h", "shingles"), counted)
     held.destroy()  # found is written
@@ -315,7 +315,7 @@ def _true_runs(found: DataFrame, repeated: DataFrame) -> DataFrame:
             right = _chains(h, last, np.where(tails, np.minimum(where[place + 1], last + REACH), last), 1)
             yield pa.RecordBatch.from_arrays([pc.take(ids, pa.array(place)), pa.array(key), pa.array(b), pa.array(e), left, right], ["id", "h", "b", "e", "left", "right"])
 
-    return cut(placed.where(F.size("hits") > 0).select("id", "lo", "hits", "words").mapInArrow(run, "id long, h long, b long, e long, left array<int>, right array<int>"))
+    return cut(placed.where(F.size("hits") > 0).select("id", "lo", "hits", "words").mapInArrow(lean(run), "id long, h long, b long, e long, left array<int>, right array<int>"))
 
 
 def _short_spans(found: DataFrame) -> DataFrame:
@@ -415,7 +415,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
             columns = [texts if i == where else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

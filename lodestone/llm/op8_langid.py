@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import cut, fold_of, read
+from .session import cut, fold_of, lean, read
 from .textkit import U64, Slab, mix, pieces_of, slabs
 
 BITS = 16
@@ -264,7 +264,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, langs))], pa.binary())], ["model"])
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(run, "model binary").first()["model"])
+    return pickle.loads(sample.coalesce(1).mapInArrow(lean(run), "model binary").first()["model"])
 
 
 def languages(texts, model) -> tuple[list[str], np.ndarray]:
@@ -297,7 +297,7 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share)], ["_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, lang_pred string, score double")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"_id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -312,7 +312,7 @@ def in_known_language(docs: DataFrame, model, min_share: float, text_col: str =
             known = np.array([x != "und" for x in lang], bool)
             yield batch.filter(pa.array(known & (share >= min_share)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def switched_words(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,7 +330,7 @@ def switched_words(docs: DataFrame, model, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(doc + slab.lo)), pa.array(np.arange(len(doc)) - first), pa.array(words, pa.string()), pa.array([labels[b] for b in p.argmax(1)], pa.string()), pa.array(p.max(1).astype(np.float64))], ["_id", "position", "word", "lang", "probability"])
 
     kind = dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, f"_id {kind}, position long, word string, lang string, probability double")
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"_id {kind}, position long, word string, lang string, probability double")
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .session import lean
+
 
 def summed(df: DataFrame, partial: Callable[[Iterable[pa.RecordBatch]], np.ndarray | None], size: int, block: int = 1 << 12) -> np.ndarray:
     """The float64 sum over tasks of ``partial(batches)``, a vector of ``size`` numbers (or None).
@@ -33,7 +35,7 @@ def summed(df: DataFrame, partial: Callable[[Iterable[pa.RecordBatch]], np.ndarr
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
     out = np.zeros(size)
-    for row in df.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").collect():
+    for row in df.mapInArrow(lean(run), "block int, sums binary").repartition("block").mapInArrow(lean(add), "block int, sums binary").collect():
         part = np.frombuffer(row["sums"], "<f8")
         out[row["block"] * block : row["block"] * block + len(part)] = part
     return out
