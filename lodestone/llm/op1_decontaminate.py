@@ -3,17 +3,18 @@
 Passages are runs of WINDOW words at every STRIDE-th word. Their words are hashed
 to features and weighted by tf-idf, document frequencies being counted over all
 passages of all documents. A distributed randomised SVD with power iterations
-decomposes the tf-idf vectors of passages: all passages of the FIT_ROWS documents
-of least hash, and all items, which weigh as much as those together. Its columns
-are the features of the items. All documents' passages are folded into the
-latent space of the leading right singular vectors. A passage is a candidate for
-each item whose latent cosine (against the passage's full norm) reaches a
-threshold set by the item's length and by how much of it the space holds; one
-with too little of its energy on the items' features cannot reach any threshold,
-and is not projected. Candidates are then checked on the words themselves: the
-longest common subsequence with the item, and how many of its answer words (the
-rarest) are there, so paraphrases that keep the order of most words are found and
-passages that are only alike are not.
+decomposes the tf-idf vectors of all passages of all documents, and of all items,
+which weigh as much as those together. Its columns are the features of the items.
+One pass over the texts adds up the products of these columns, in blocks of rows
+that stay distributed. All documents' passages are folded into the latent space of
+the leading right singular vectors. A passage is a candidate for each item whose
+latent cosine (against the passage's full norm) reaches a threshold set by the
+item's length and by how much of it the space holds; one with too little of its
+energy on the items' features cannot reach any threshold, and is not projected.
+Candidates are then checked on the words themselves: the longest common
+subsequence with the item, and how many of its answer words (the rarest) are
+there, so paraphrases that keep the order of most words are found and passages
+that are only alike are not.
 
 Items are searched in blocks of ITEM_BLOCK, which share one space, so the results
 do not depend on it, and the search grows with the stated query set and not with
@@ -23,6 +24,7 @@ pairs of documents.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -31,14 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import cut, read
+from .session import cut, lean, read
 from .textkit import U64, Slab, slabs
 from .vectors import summed
 
 BITS = 18
 RANK = 128
-#: Documents whose passages are decomposed, with the items.
-FIT_ROWS = 1000
+#: Rows of a block of the columns' products, so many of which (4 bytes each) a task adds up in one reading, and partitions that one such task reads: each sends whole blocks.
+BLOCK_ROWS, CELLS, PARTS_A_TASK = 64, 1 << 24, 4
 WINDOW, STRIDE = 32, 16
 #: Power iterations and seed of the sketch.
 POWER_STEPS, SEED = 2, 11
@@ -97,50 +99,96 @@ def document_frequencies(texts: DataFrame, bits: int = BITS) -> np.ndarray:
     return summed(texts, partial, (1 << bits) + 1)
 
 
-def singular_vectors(passages: DataFrame, columns: np.ndarray, idf: np.ndarray, rank: int = RANK, bits: int = BITS, steps: int = POWER_STEPS) -> np.ndarray:
-    """Leading right singular vectors (columns x rank) of unit tf-idf vectors.
+def products(passages: DataFrame, columns: np.ndarray, idf: np.ndarray, bits: int = BITS, whole: bool = False, cells: int = CELLS) -> DataFrame:
+    """(block, sums): A^T A of the unit tf-idf vectors A of all passages, its upper triangle in blocks of BLOCK_ROWS rows, as float64.
 
-    ``passages`` has (text, whole, weight): texts that are one passage each, or
-    are cut into passages, and what their vectors weigh. ``columns`` maps a
-    feature to its column, or to their number if it has none.
+    ``passages`` has (text); with ``whole`` each text is one passage. ``columns`` maps a feature
+    to its column, or to their number if it has none, and ascends with it. The texts are read once for each ``cells`` of the triangle.
     """
-    spark, n = passages.sparkSession, int(columns.max(initial=0)) if len(columns) else 0
-    rank = min(rank, n)
+    spark, n = passages.sparkSession, int(columns.max(initial=0))
     held = spark.sparkContext.broadcast((columns, idf))
-
-    def product(basis: np.ndarray) -> np.ndarray:
-        """A^T A basis; each task adds its own part."""
-        given = spark.sparkContext.broadcast(basis)
-
-        def partial(batches):
-            (columns, idf), basis = held.value, given.value
-            out = np.zeros((n, basis.shape[1]))
+    first = np.concatenate([[0], np.cumsum(n - np.arange(n))])  # where each row of the triangle begins
+    edges, parts = [*range(0, n, BLOCK_ROWS), n], []
+    while len(edges) > 1:
+        k = max(1, int(np.searchsorted(first[edges], first[edges[0]] + cells, "right")) - 1)
+        parts.append(edges[: k + 1])
+        edges = edges[k:]
+
+    def adder(edges: list[int]):
+        lo, hi = edges[0], edges[-1]
+        at = first[lo:hi] - first[lo] - np.arange(lo, hi)
+
+        def run(batches):
+            columns, idf = held.value
+            sums = np.zeros(first[hi] - first[lo], np.float32)
             for batch in batches:
-                whole, weight = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
                 for slab in slabs(batch.column(0), 1 << 18):
                     _, feature, doc, run = pieces(slab, bits)
                     if not len(run):
                         continue
-                    one = whole[slab.lo + doc[run]].astype(bool)  # of these the first run is all of the text
-                    first = np.concatenate([[True], doc[run[1:]] != doc[run[:-1]]])
-                    end = np.where(one, np.searchsorted(doc, doc[run], "right"), passage_ends(doc, run))
-                    keep = first | ~one
-                    run, end = run[keep], end[keep]
+                    end = passage_ends(doc, run)
+                    if whole:
+                        run = run[np.concatenate([[True], doc[run[1:]] != doc[run[:-1]]])]
+                        end = np.searchsorted(doc, doc[run], "right")
                     owner, f, times = features_between(feature, run, end, bits)
                     value = times * idf[f]
-                    value = value / np.sqrt(np.maximum(np.bincount(owner, value * value, len(run)), 1e-24))[owner] * weight[slab.lo + doc[run]][owner]
+                    value = (value / np.sqrt(np.maximum(np.bincount(owner, value * value, len(run)), 1e-24))[owner]).astype(np.float32)
                     inside = columns[f] < n
-                    owner, column, value = owner[inside], columns[f[inside]], value[inside]
-                    if len(owner):
-                        new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                        image = np.add.reduceat(value[:, None] * basis[column], new, axis=0)
-                        back = value[:, None] * np.repeat(image, np.diff(np.append(new, len(owner))), axis=0)
-                        order = np.argsort(column, kind="stable")
-                        at = np.flatnonzero(np.concatenate([[True], column[order][1:] != column[order][:-1]]))
-                        out[column[order][at]] += np.add.reduceat(back[order], at, axis=0)
+                    owner, column, value = owner[inside], columns[f[inside]].astype(np.int64), value[inside]
+                    left = np.flatnonzero((column >= lo) & (column < hi))  # of pairs so many columns apart, which one has as many at least
+                    for apart in range(len(owner)):
+                        left = left[left + apart < len(owner)]
+                        left = left[owner[left + apart] == owner[left]]
+                        if not len(left):
+                            break
+                        np.add.at(sums, at[column[left] - lo] + column[left + apart], value[left] * value[left + apart])
+            for begin, after in zip(edges[:-1], edges[1:], strict=True):
+                part = sums[first[begin] - first[lo] : first[after] - first[lo]]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([begin], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "sums"])
+
+        return run
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(raw.as_buffer(), np.float32)
+                sums[k] = sums[k] + part if k in sums else part.astype(np.float64)
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+
+    tasks = passages.rdd.getNumPartitions()
+    few = passages.select("text").coalesce(max(1, min(tasks, max(spark.sparkContext.defaultParallelism, -(-tasks // PARTS_A_TASK)))))
+    added = [few.mapInArrow(lean(adder(e)), "block int, sums binary").repartition("block").mapInArrow(lean(add), "block int, sums binary") for e in parts]
+    found = cut(reduce(DataFrame.unionByName, added))
+    held.destroy()
+    return found
+
+
+def singular_vectors(gram: DataFrame, n: int, rank: int = RANK, steps: int = POWER_STEPS) -> np.ndarray:
+    """Leading right singular vectors (n x rank) of A, of which ``gram`` has the blocks (block, sums, weight) of ``products``, to be added up by weight."""
+    spark = gram.sparkSession
+    rank = min(rank, n)
+    few = gram.coalesce(spark.sparkContext.defaultParallelism)
+
+    def product(basis: np.ndarray) -> np.ndarray:
+        """A^T A basis; each task adds its own part."""
+        given = spark.sparkContext.broadcast(basis)
+
+        def partial(batches):
+            basis = given.value
+            out = np.zeros(basis.shape)
+            for batch in batches:
+                for lo, raw, weight in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                    rows = np.zeros((min(BLOCK_ROWS, n - lo), n - lo))
+                    rows[np.triu_indices(*rows.shape[:1], m=n - lo)] = np.frombuffer(raw.as_buffer(), "<f8")
+                    out[lo : lo + len(rows)] += weight * (rows @ basis[lo:])
+                    rows[np.arange(len(rows)), np.arange(len(rows))] = 0
+                    out[lo:] += weight * (rows.T @ basis[lo : lo + len(rows)])
             return out.ravel()
 
-        total = summed(passages, partial, n * basis.shape[1], 1 << 16).reshape(n, -1)
+        total = summed(few, partial, n * basis.shape[1], 1 << 16).reshape(n, -1)
         given.destroy()
         return total
 
@@ -148,15 +196,14 @@ def singular_vectors(passages: DataFrame, columns: np.ndarray, idf: np.ndarray,
     for _ in range(steps):
         q = np.linalg.qr(product(q))[0]
     image = product(q)  # q^T A^T A q gives the rotation to singular vectors
-    held.destroy()
     _, turn = np.linalg.eigh(q.T @ image)
     return (q @ turn[:, ::-1]).astype(np.float32)
 
 
-def latent_space(texts: DataFrame, items: DataFrame, idf: np.ndarray, bits: int = BITS, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, vectors): the items' features' columns, and the singular vectors of the fit sample and the items.
+def latent_space(texts: DataFrame, items: DataFrame, idf: np.ndarray, n_passages: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, vectors): the items' features' columns, and the singular vectors of all ``n_passages`` passages and the items.
 
-    ``texts`` has (_id, text), ``items`` (text); the sample's rows have the least hashes of their ids.
+    ``texts`` and ``items`` have (text).
     """
     def partial(batches):
         seen = np.zeros(1 << bits)
@@ -170,12 +217,9 @@ def latent_space(texts: DataFrame, items: DataFrame, idf: np.ndarray, bits: int
     columns[support] = np.arange(len(support))
     if not len(support):
         return columns, np.zeros((0, 1), np.float32)
-    h = F.xxhash64(F.col("_id").cast("string"))
-    most = texts.select(h.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    sample = cut(texts.where(h <= F.lit(most)).select("text", F.lit(False).alias("whole"), F.lit(1.0).alias("weight")))
-    n_items, n_sample = items.count(), int(document_frequencies(sample.select("text"), bits)[-1])
-    heavy = items.select("text", F.lit(True).alias("whole"), F.lit(float(np.sqrt(max(n_sample, 1) / max(n_items, 1)))).alias("weight"))
-    return columns, singular_vectors(sample.unionByName(heavy), columns, idf, bits=bits)
+    every = products(texts, columns, idf, bits).withColumn("weight", F.lit(1.0))
+    heavy = products(items, columns, idf, bits, whole=True).withColumn("weight", F.lit(max(n_passages, 1) / max(items.count(), 1)))
+    return columns, singular_vectors(every.unionByName(heavy), len(support))
 
 
 def common_length(item_masks: dict[int, int], size: int, words: list[int]) -> int:
@@ -301,7 +345,7 @@ def search(docs: DataFrame, index: Index, verify: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[:3]), *(pa.array(c, pa.int64()) for c in columns[3:])], ["_id", "item_id", "cosine", "lcs", "answer", "first_word", "n_words"])
 
     kind = dict(docs.dtypes)["_id"]
-    return docs.select("_id", "text").mapInArrow(run, f"_id {kind}, item_id long, cosine double, lcs double, answer double, first_word long, n_words long")
+    return docs.select("_id", "text").mapInArrow(lean(run), f"_id {kind}, item_id long, cosine double, lcs double, answer double, first_word long, n_words long")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_block: int = ITEM_BLOCK) -> DataFrame:
@@ -317,7 +361,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     known = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     counts = document_frequencies(slim.select("text"))
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
-    columns, vectors = latent_space(slim, known, idf)
+    columns, vectors = latent_space(slim, known, idf, int(counts[-1]))
     found, block = None, []
     for row in chain(known.toLocalIterator(), [None]):
         if row is not None:
