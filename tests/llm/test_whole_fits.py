@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from lodestone.llm import op1_decontaminate as op1
+from lodestone.llm import op9_mixing as op9
+from lodestone.llm.textkit import slabs
 
 
 @pytest.mark.parametrize("cells", [1 << 24, 5000])
@@ -45,3 +47,46 @@ def test_op1_space_is_that_of_all_passages(spark, cells, monkeypatch):
     for _ in range(op1.POWER_STEPS):
         q = np.linalg.qr(gram @ q)[0]
     assert np.allclose(q @ q.T, vectors @ vectors.T, atol=1e-3)
+
+
+def test_op9_weights_are_fitted_on_all_bits_of_all_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: f"w{int(rng.paretovariate(0.8)) % 3000}"
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 25))) for _ in range(1500)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    met, fitted = [], op9.fitted
+    monkeypatch.setattr(op9, "fitted", lambda cells, *rest: met.append((cells, fitted(cells, *rest))) or met[-1][1])
+    monkeypatch.setattr(op9, "SLAB_BYTES", 5000)
+    assert op9.score_texts(docs, docs).count() == len(texts)
+    (cells, weights), (spelled, spell_weights) = met
+
+    counts = {}
+    for w in (w for t in texts for w in (t or "").split()):
+        counts[w] = counts.get(w, 0) + 1
+    heavy = sorted(((w.encode(), c) for w, c in counts.items() if c > 1), key=lambda x: (-x[1], x[0]))
+    once = [w.encode() for w, c in counts.items() if c == 1]
+    assert len(once) > 100
+    table = op9.word_table(op9.pa.array([w for w, _ in heavy], op9.pa.binary()), np.array([c for _, c in heavy]), len(texts), len(once))
+    slab = next(slabs(op9.pa.array(texts), 1 << 40))
+    bits, *_ = op9.word_bits(slab, table, op9.slot_bits_for(sum(counts.values()) + len(texts)), np.zeros(2, np.uint64))
+    for got, (bits, n_slots), weights, start in ((cells, (bits, 1 << 20), weights, (1, 0.1, 0.1)), (spelled, (op9.spelled_bits(op9.pa.array(once, op9.pa.binary()), op9.byte_code()), None), spell_weights, (0.2, 0.4, 0.4))):
+        assert sum(got["n"].to_pylist()) == len(bits[0])  # each bit of each row
+        if n_slots is None:  # their tables count all words, in which others are
+            assert np.abs(weights[:, :3] - start).max() > 0.05
+            continue
+        counted = [np.zeros(n_slots, np.int64) for _ in bits[2]]
+        for c, s in zip(counted, bits[2], strict=True):
+            np.add.at(c, 2 * s.astype(np.int64) + bits[0], 1)
+        xs, gate = op9.inputs(bits, [op9.states(c[::2], c[1::2]) for c in counted], own=True)
+        xs = np.stack([*xs, np.ones(len(gate))], 1)
+        found, best = np.tile([*start, 0.0], (op9.GATES, 1)), None
+        for _ in range(op9.FIT_ROUNDS):
+            p = 1 / (1 + np.exp(-np.clip((found[gate] * xs).sum(1), -op9.MAX_ODDS, op9.MAX_ODDS)))
+            likely = np.log(np.where(bits[0], p, 1 - p)).sum()
+            best = max(best or (-np.inf, 0, found), (likely, 0, found), key=lambda x: x[0])
+            found = found.copy()
+            for g in range(op9.GATES):
+                x, q, y = xs[gate == g], p[gate == g], bits[0][gate == g]
+                slope = x.T @ (y - q) - 20.0 * (found[g] - [*start, 0.0])
+                found[g] = np.clip(found[g] + np.linalg.solve((x.T * (q * (1 - q))) @ x + 20.0 * np.eye(4), slope), -3, 3)
+        assert np.allclose(weights, best[2], atol=0.05)
