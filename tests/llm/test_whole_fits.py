@@ -90,3 +90,22 @@ def test_op9_weights_are_fitted_on_all_bits_of_all_rows(spark, monkeypatch):
                 slope = x.T @ (y - q) - 20.0 * (found[g] - [*start, 0.0])
                 found[g] = np.clip(found[g] + np.linalg.solve((x.T * (q * (1 - q))) @ x + 20.0 * np.eye(4), slope), -3, 3)
         assert np.allclose(weights, best[2], atol=0.05)
+
+
+def test_op9_dense_counts_are_sent_two_to_a_byte(spark):
+    def draws(k):
+        r = np.random.default_rng(k)
+        return np.concatenate([r.integers(0, 1 << 17, 150_000), r.integers(0, 3000, 30_000), np.full(9000, 7)]).astype(np.int32), r.integers(0, 2, 189_000).astype(np.uint8)
+
+    def events(batches, add):
+        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+            slot, bit = draws(k)
+            add(bit, [slot])
+        return np.zeros(768)
+
+    counted = np.zeros((1 << 17, 2), np.int64)
+    for k in range(8):
+        slot, bit = draws(k)
+        np.add.at(counted, (slot, bit), 1)
+    tables, _ = op9.counted_states(spark.range(8).repartition(4), events, 1, 17)
+    assert (tables[0] == op9.states(counted[:, 0], counted[:, 1])).all()
